@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelens.llm import simhash_dedup
+from pagelens.llm import simhash_dedup, toxicity
 from pagelens.sources.shared import read_table
 
 
@@ -16,9 +16,26 @@ def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def fitted_toxicity(spark: SparkSession, sf_dir: str) -> toxicity.ToxicityModel:
+    labels = read_table(spark, sf_dir, "labels").where(~toxicity.held_out())
+    return toxicity.fit(read_table(spark, sf_dir, "documents"), labels)
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = fitted_toxicity(spark, sf_dir)
+    scored = toxicity.score(read_table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    return scored.select(
+        "doc_id",
+        toxicity.held_out().alias("held_out"),
+        F.col("tox_score").alias("score"),
+        (F.col("tox_score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_simhash_dedup": op4_simhash_dedup,
+        "op10_toxicity": op10_toxicity,
     }
 
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelens.llm import simhash_dedup, toxicity
+from pagelens.llm import packing, simhash_dedup, toxicity
 from pagelens.sources.shared import read_table
 
 
@@ -16,6 +17,11 @@ def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def fitted_toxicity(spark: SparkSession, sf_dir: str) -> toxicity.ToxicityModel:
     labels = read_table(spark, sf_dir, "labels").where(~toxicity.held_out())
     return toxicity.fit(read_table(spark, sf_dir, "documents"), labels)
@@ -35,6 +41,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_simhash_dedup": op4_simhash_dedup,
+        "op8_packing": op8_packing,
         "op10_toxicity": op10_toxicity,
     }
 

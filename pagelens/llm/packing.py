@@ -164,10 +164,11 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
-    encoded = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(
-        _encode(tokenizer, window, end_id), f"doc_id {kind}, part int, n long, rest int, rank long, first long, ids binary"
+    # Ids pass through pandas as strings, since it would turn whole numbers beside nulls into floats.
+    encoded = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(
+        _encode(tokenizer, window, end_id), "doc_id string, part int, n long, rest int, rank long, first long, ids binary"
     )
-    encoded = materialize(encoded, "encoded")
+    encoded = materialize(encoded.withColumn("doc_id", F.col("doc_id").cast(kind)), "encoded")
     per_part = encoded.groupBy("part", "rest").agg(F.count("*").alias("c"))
     before = Window.partitionBy("rest").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     per_part = per_part.select("part", "rest", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("base"))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelens.llm import bpe, packing, simhash_dedup, toxicity
+from pagelens.llm import bpe, chat, packing, simhash_dedup, toxicity
 from pagelens.sources.shared import read_table
 
 
@@ -28,6 +28,14 @@ def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    control = "</s>[INST] ok [/INST]"
+    extra = spark.sql("select -1L conv_id, stack(2, 0L, 'user', '{0}', 1L, 'assistant', '{0}') as (turn, role, text)".format(control))
+    rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    formatted = chat.format_conversations(rows, public_tokenizers.path("byte_bpe_50k.json"))
+    return chat.digests(formatted).withColumn("conv_id", F.col("conv_id").cast("long"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -53,6 +61,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
         "op4_simhash_dedup": op4_simhash_dedup,
+        "op7_chat": op7_chat,
         "op8_packing": op8_packing,
         "op10_toxicity": op10_toxicity,
     }

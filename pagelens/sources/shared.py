@@ -16,14 +16,22 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/") if named else f"file://{DEFAULT_DIR}/{os.getpid()}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, bucket_by: str | None = None) -> DataFrame:
     """Write df once as Parquet to the shared folder and return a reader of it.
 
+    With bucket_by it is a bucketed table of as many buckets as the session has
+    shuffle partitions: joins and groups on that column read it without a shuffle.
+
     The result has no lineage before the written files, so lost executors never
     cause the work above to run again, and two consumers see the same rows.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/pagelens/{name}-{uuid.uuid4().hex}"
+    if bucket_by:
+        table = f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
+        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        df.write.option("path", path).bucketBy(buckets, bucket_by).format("parquet").saveAsTable(table)
+        return spark.table(table)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelens.llm import bpe, chat, packing, simhash_dedup, toxicity
+from pagelens.llm import bpe, chat, cover_search, packing, rabitq, simhash_dedup, toxicity
 from pagelens.sources.shared import read_table
 
 
@@ -23,6 +23,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_search.top_k(read_table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash_dedup.simhash_components(read_table(spark, sf_dir, "documents"))
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -41,6 +45,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op9_rabitq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rabitq.nearest(read_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 def fitted_toxicity(spark: SparkSession, sf_dir: str) -> toxicity.ToxicityModel:
     labels = read_table(spark, sf_dir, "labels").where(~toxicity.held_out())
     return toxicity.fit(read_table(spark, sf_dir, "documents"), labels)
@@ -60,9 +68,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
+        "op3_exact_topk": op3_exact_topk,
         "op4_simhash_dedup": op4_simhash_dedup,
         "op7_chat": op7_chat,
         "op8_packing": op8_packing,
+        "op9_rabitq": op9_rabitq,
         "op10_toxicity": op10_toxicity,
     }
 

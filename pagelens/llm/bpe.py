@@ -31,10 +31,10 @@ from pyspark.sql import functions as F
 
 from pagelens.sources.shared import materialize
 
-BLOCK_CHARS = 32_000_000  # characters of a block, at most, but for one longer text
+BLOCK_CHARS = 16_000_000  # characters of a block, at most, but for one longer text
 PAGE_TOKENS = 1_000_000  # positions in one row of a block, at most, but for one longer text
 BUCKETS = 256
-WORDS_KEPT = 500_000  # words whose ids a bucket keeps at hand
+WORDS_KEPT = 500_000  # words of a bucket whose ids are kept at hand
 
 _OTHER_SPACES = re.compile(r" \s|\s |^ | \Z")
 
@@ -101,7 +101,7 @@ class _Block:
             while hi < len(sizes) and (hi == lo or n + sizes[hi] <= PAGE_TOKENS):
                 n += sizes[hi]
                 hi += 1
-            yield pd.DataFrame({"block": [block], "bucket": [-1], "doc_ids": [self.ids[lo:hi]], "sizes": [sizes[lo:hi]], "data": [_pack(rank[numbers[at : at + n]])], "words": [None]})
+            yield pd.DataFrame({"block": [block], "bucket": [-1], "doc_ids": [self.ids[lo:hi]], "sizes": [sizes[lo:hi]], "data": [_pack(rank[numbers[at : at + n]])], "words": [None], "lengths": [None]})
             lo, at = hi, at + n
         words = list(self.words)
         to = np.fromiter((xxhash.xxh32_intdigest(w.encode("utf-8", "surrogatepass")) for w in words), np.uint32, len(words)) % BUCKETS
@@ -111,7 +111,7 @@ class _Block:
             if len(ranks):
                 own = [words[order[r]] for r in ranks]
                 joined = "".join(own).encode("utf-8", "surrogatepass")
-                yield pd.DataFrame({"block": [block], "bucket": [b], "doc_ids": [None], "sizes": [[len(w) for w in own]], "data": [_pack(np.diff(ranks, prepend=np.uint32(0)))], "words": [compress(joined)]})
+                yield pd.DataFrame({"block": [block], "bucket": [b], "doc_ids": [None], "sizes": [None], "data": [_pack(np.diff(ranks, prepend=np.uint32(0)))], "words": [compress(joined)], "lengths": [_pack(np.fromiter(map(len, own), np.uint32, len(own)))]})
 
 
 def _index(pattern: str):
@@ -139,13 +139,14 @@ def _encode_words(ranks):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoding = tiktoken.Encoding("words", pat_str=pattern_all, mergeable_ranks=ranks.value, special_tokens={})
         known: dict[str, bytes] = {}
+        now = None
         for pdf in batches:
-            for block, lengths, data, packed in zip(pdf["block"], pdf["sizes"], pdf["data"], pdf["words"]):
+            for block, bucket, data, packed, lengths in zip(pdf["block"], pdf["bucket"], pdf["data"], pdf["words"], pdf["lengths"]):
                 joined = zstandard.ZstdDecompressor().decompress(packed).decode("utf-8", "surrogatepass")
-                ends = np.cumsum(lengths).tolist()
+                ends = np.cumsum(_unpack(lengths), dtype=np.int64).tolist()
                 words = [joined[lo:hi] for lo, hi in zip([0, *ends], ends)]
-                if len(known) > WORDS_KEPT:
-                    known.clear()
+                if bucket != now or len(known) > WORDS_KEPT:
+                    known, now = {}, bucket
                 ids = []
                 for w in words:
                     x = known.get(w)
@@ -201,10 +202,10 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     kind = docs.schema[id_col].dataType.simpleString()
     ranks = spark.sparkContext.broadcast(load_ranks(ranks_path))  # as large as the vocabulary
     blocks = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(
-        _index(pattern), "block long, bucket int, doc_ids array<string>, sizes array<int>, data binary, words binary"
+        _index(pattern), "block long, bucket int, doc_ids array<string>, sizes array<int>, data binary, words binary, lengths binary"
     )
-    blocks = materialize(blocks, "blocks")
-    words = blocks.where("bucket >= 0").select("block", "bucket", "sizes", "data", "words").repartition("bucket")
+    blocks = materialize(blocks, "blocks", bucket_by="block")  # the pages need no shuffle to meet their words again
+    words = blocks.where("bucket >= 0").select("block", "bucket", "data", "words", "lengths").repartition("bucket").sortWithinPartitions("bucket")
     words = words.mapInPandas(_encode_words(ranks), "block long, ranks binary, sizes binary, ids binary")
     pages = blocks.where("bucket < 0").select("block", "doc_ids", "sizes", "data")
     out = pages.groupBy("block").cogroup(words.groupBy("block")).applyInPandas(_assemble, "doc_id string, ids binary")

@@ -36,7 +36,7 @@ PAGE_TOKENS = 1_000_000  # positions in one row of a block, at most, but for one
 BUCKETS = 256
 WORDS_KEPT = 500_000  # words of a bucket whose ids are kept at hand
 
-_OTHER_SPACES = re.compile(r" \s|\s |^ | \Z")
+_OTHER_SPACES = re.compile(r" (?:\s|(?<=\s ))")
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -75,7 +75,7 @@ class _Block:
         """A space between two characters that are not white space always begins a pre-token, so each chunk between them is split once."""
         self.ids.append(doc_id)
         self.chars += len(text)
-        if not text or _OTHER_SPACES.search(text):
+        if not text or text[0] == " " or text[-1] == " " or _OTHER_SPACES.search(text):
             self.texts.append(self._split(text))
             return
         head, *rest = text.split(" ")

@@ -38,12 +38,12 @@ POPULAR = 32  # lengths from which two of a triple come
 OWN_WINDOWS = 40  # bits below the partition in ids of sequences that are one whole window
 
 
-def _encode(path: str, window: int, end_id: int):
+def _encode(files: tuple, window: int, end_id: int):
     end = array("I", [end_id]).tobytes()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part = TaskContext.get().partitionId()
-        own = encoder(path)
+        own = encoder(*files)
         seen = np.zeros(window, np.int64)
         wholes = 0
         for pdf in batches:
@@ -153,9 +153,14 @@ def _slots(patterns: list[tuple[tuple[int, ...], int]], histogram: dict[int, int
     return slots, cut, sequence
 
 
-def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
+def pack(
+    docs: DataFrame, tokenizer: str, ranks: str | None = None, pattern: str | None = None,
+    id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end_id: int = END_ID,
+) -> DataFrame:
     """Pieces of all documents: doc_id, start, length, ids, doc_tokens, sequence_id, offset.
 
+    tokenizer is a file of the tokenizers library; ranks and pattern name the
+    same vocabulary for tiktoken, which only makes it faster.
     ids holds a piece's ids as little-endian unsigned 32-bit integers. Each
     sequence is filled from offset 0 without gaps; at most one is not full.
     Sequence ids are unique, not dense. A null text counts as empty: one piece
@@ -166,9 +171,9 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     kind = docs.schema[id_col].dataType.simpleString()
     # Ids pass through pandas as strings, since it would turn whole numbers beside nulls into floats.
     encoded = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(
-        _encode(tokenizer, window, end_id), "doc_id string, part int, n long, rest int, rank long, first long, ids binary"
+        _encode((tokenizer, ranks, pattern), window, end_id), "doc_id string, part int, n long, rest int, rank long, first long, ids binary"
     )
-    encoded = materialize(encoded.withColumn("doc_id", F.col("doc_id").cast(kind)), "encoded")
+    encoded = materialize(encoded.withColumn("doc_id", F.col("doc_id").cast(kind)), "encoded", bucket_by="part")
     per_part = encoded.groupBy("part", "rest").agg(F.count("*").alias("c"))
     before = Window.partitionBy("rest").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     per_part = per_part.select("part", "rest", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("base"))
@@ -177,7 +182,10 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     slots_df = spark.createDataFrame(slots, "rest int, low long, high long, sequence long, slot_offset long")
     cut_df = spark.createDataFrame(cut, "rest int, cut_low long, position long")
 
-    ranked = encoded.join(per_part, ["part", "rest"]).withColumn("rank", F.col("rank") + F.col("base")).drop("base")
+    # Joined by partition, by which the table is bucketed, so the ids are not shuffled.
+    bases = per_part.groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("rest", "base"))).alias("bases"))  # a window's lengths at most
+    ranked = encoded.join(bases, "part").withColumn("base", F.col("bases")[F.col("rest")]).drop("bases")
+    ranked = ranked.withColumn("rank", F.col("rank") + F.col("base")).drop("base")
     # The plan has a bounded number of rows whatever the corpus: it is made from one histogram.
     on = (ranked["rest"] == slots_df["rest"]) & (ranked["rank"] >= slots_df["low"]) & (ranked["rank"] < slots_df["high"])
     placed = ranked.join(F.broadcast(slots_df), on, "left").drop(slots_df["rest"]).join(F.broadcast(cut_df), "rest", "left")

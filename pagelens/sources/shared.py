@@ -39,3 +39,10 @@ def materialize(df: DataFrame, name: str, bucket_by: str | None = None) -> DataF
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def long_rows(spark: SparkSession, rows: int = 1000) -> None:
+    """Send rows that hold whole texts to Python in small Arrow batches, unless the session asks for smaller ones."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows:
+        spark.conf.set(key, str(rows))

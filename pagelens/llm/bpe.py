@@ -29,9 +29,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelens.sources.shared import materialize
+from pagelens.sources.shared import long_rows, materialize
 
-BLOCK_CHARS = 16_000_000  # characters of a block, at most, but for one longer text
+BLOCK_CHARS = 12_000_000  # characters of a block, at most, but for one longer text
 PAGE_TOKENS = 1_000_000  # positions in one row of a block, at most, but for one longer text
 BUCKETS = 256
 WORDS_KEPT = 500_000  # words of a bucket whose ids are kept at hand
@@ -199,6 +199,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     not read.
     """
     spark = docs.sparkSession
+    long_rows(spark)
     kind = docs.schema[id_col].dataType.simpleString()
     ranks = spark.sparkContext.broadcast(load_ranks(ranks_path))  # as large as the vocabulary
     blocks = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(

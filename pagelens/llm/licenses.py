@@ -113,6 +113,11 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
+def _once(value: Column) -> Column:
+    """value as a column that later expressions read: without it they repeat its computation, in lambdas once for each element."""
+    return F.explode(F.array(value))
+
+
 def _content_words() -> list[str]:
     import re
 
@@ -153,14 +158,14 @@ class LicenceModel:
 def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, paragraph (from 0, blank ones counted), words of the lines that hold a word."""
     lines = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.col(text_col), "\r?\n", -1)).alias("paragraph", "line"))
-    return lines.select("doc_id", "paragraph", words(F.col("line")).alias("w")).where(F.size("w") > 0)
+    return lines.select("doc_id", "paragraph", _once(words(F.col("line"))).alias("w")).where(F.size("w") > 0)
 
 
 def fit(docs: DataFrame, text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> LicenceModel:
     """Train on the templates and on a sample of docs: those with the smallest hashes of their texts, sample_docs at most."""
     spark = docs.sparkSession
     content = F.array(*map(F.lit, _content_words()))
-    named = _rows(spark, [(f, t) for f, ts in TEMPLATES.items() for t in ts]).select("family", words(F.col("text")).alias("w"))
+    named = _rows(spark, [(f, t) for f, ts in TEMPLATES.items() for t in ts]).select("family", _once(words(F.col("text"))).alias("w"))
     sizes = F.array(*map(F.lit, WINDOWS))
     cut = named.select("family", "w", F.explode(sizes).alias("n"), F.size("w").alias("size")).where("size > n")
     cut = cut.select("family", F.explode(F.transform(F.sequence(F.lit(1), F.col("size") - F.col("n") + 1), lambda i: F.slice("w", i, F.col("n")))).alias("w"))
@@ -169,8 +174,8 @@ def fit(docs: DataFrame, text_col: str = "text", sample_docs: int = SAMPLE_DOCS)
     positive = named.unionByName(shared.select("family", "w"))
     picked = docs.select(F.col(text_col).alias("text")).where("text is not null").orderBy(F.xxhash64("text"), "text").limit(sample_docs)
     other = picked.select(F.explode(F.split("text", "\r?\n", -1)).alias("line")).where(~F.lower("line").rlike("licen[cs]e|copyright|rights reserved|public domain"))
-    negative = other.select(F.lit(UNKNOWN).alias("family"), words(F.col("line")).alias("w")).unionByName(
-        _rows(spark, [(UNKNOWN, t) for t in PLAIN]).select("family", words(F.col("text")).alias("w"))
+    negative = other.select(F.lit(UNKNOWN).alias("family"), _once(words(F.col("line"))).alias("w")).unionByName(
+        _rows(spark, [(UNKNOWN, t) for t in PLAIN]).select("family", _once(words(F.col("text"))).alias("w"))
     )
     classes = [*sorted(TEMPLATES), UNKNOWN]
     label = F.array_position(F.array(*map(F.lit, classes)), F.col("family")).cast("double") - 1
@@ -179,7 +184,7 @@ def fit(docs: DataFrame, text_col: str = "text", sample_docs: int = SAMPLE_DOCS)
     vocabulary = sorted(r["g"] for r in positive.select(F.explode(features(F.col("w"), content)).alias("g")).distinct().collect())  # the templates' n-grams
     vectorizer = CountVectorizerModel.from_vocabulary(vocabulary, "grams", "features").setBinary(True)
     ready = vectorizer.transform(examples)
-    regression = LogisticRegression(family="multinomial", regParam=0.002, maxIter=80, weightCol="weight").fit(ready.where("not held or label < 0"))
+    regression = LogisticRegression(family="multinomial", regParam=0.002, maxIter=80, weightCol="weight").fit(ready.where("not held").coalesce(4))
     best = regression.transform(ready.where("held")).select(
         (F.array_max(F.slice(vector_to_array("probability"), 1, len(classes) - 1))).alias("p"),
         (F.array_position(F.slice(vector_to_array("probability"), 1, len(classes) - 1), F.array_max(F.slice(vector_to_array("probability"), 1, len(classes) - 1))) - 1 == F.col("label")).alias("right"),

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelens.llm.encoding import encoder
-from pagelens.sources.shared import materialize
+from pagelens.sources.shared import long_rows, materialize
 
 WINDOW = 2048
 END_ID = 1
@@ -168,6 +168,7 @@ def pack(
     gives an empty result. Other columns are not read.
     """
     spark = docs.sparkSession
+    long_rows(spark)
     kind = docs.schema[id_col].dataType.simpleString()
     # Ids pass through pandas as strings, since it would turn whole numbers beside nulls into floats.
     encoded = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from pagelens.llm.graph import connected_components
-from pagelens.sources.shared import materialize
+from pagelens.sources.shared import long_rows, materialize
 
 SHINGLE_WORDS = 4
 RADIUS = 4
@@ -165,6 +165,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     id that is not null (null if there is none). Repeated rows are kept as they
     are. An empty table gives an empty result. Other columns are not read.
     """
+    long_rows(docs.sparkSession)
     prints = materialize(docs.select(F.col(id_col).alias("doc_id"), fingerprint_udf(F.col(text_col)).alias("fp")), "fingerprints")
     classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     roots = connected_components(linked_fingerprints(classes, radius, tile))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from pagelens.sources.shared import materialize
+from pagelens.sources.shared import long_rows, materialize
 
 SAMPLE_ROWS = 20_000  # labelled rows that fit the model, at most
 LEXICON_SIZE = 5_000  # entries that the fitted lexicon keeps, at most
@@ -207,6 +207,7 @@ def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", prefix:
     equal scores. An empty table gives an empty result. The added name has a
     prefix so that it does not clash with columns of docs.
     """
+    long_rows(docs.sparkSession)
     name = f"{prefix}score"
     if model.trees is None:
         return docs.withColumn(name, F.lit(model.base))

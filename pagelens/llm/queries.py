@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelens.llm import bpe, chat, cover_search, licenses, packing, rabitq, simhash_dedup, toxicity
+from pagelens.llm import bpe, chat, cover_search, licenses, line_dedup, packing, rabitq, simhash_dedup, toxicity
 from pagelens.sources.shared import read_table
 
 
@@ -32,6 +32,11 @@ def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = line_dedup.mark(read_table(spark, sf_dir, "documents"))
+    return marked.select("row.doc_id", "text", F.col("removed").alias("lines_removed"), F.length("text").alias("n_chars"))
+
+
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return licenses.scan(docs, licenses.fit(docs))
@@ -78,6 +83,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_bpe": op1_bpe,
         "op3_exact_topk": op3_exact_topk,
         "op4_simhash_dedup": op4_simhash_dedup,
+        "op5_line_dedup": op5_line_dedup,
         "op6_licenses": op6_licenses,
         "op7_chat": op7_chat,
         "op8_packing": op8_packing,

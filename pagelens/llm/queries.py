@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelens.llm import bpe, chat, cover_search, licenses, line_dedup, packing, rabitq, simhash_dedup, toxicity
+from pagelens.llm import bpe, chat, cover_search, html_text, licenses, line_dedup, packing, rabitq, simhash_dedup, toxicity
 from pagelens.sources.shared import read_table
 
 
@@ -23,6 +23,11 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = html_text.extract(read_table(spark, sf_dir, "pages"))
+    return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_search.top_k(read_table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
 
@@ -81,6 +86,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
+        "op2_html_text": op2_html_text,
         "op3_exact_topk": op3_exact_topk,
         "op4_simhash_dedup": op4_simhash_dedup,
         "op5_line_dedup": op5_line_dedup,

@@ -176,11 +176,13 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """Keep one row of each group, that of the smallest id (one of them, if several rows have it).
+    """Keep one row of each group, that of the smallest id, and of the first row if several have it.
 
-    All columns of docs come back as they are. Rows with a null id stay.
+    All columns of docs come back as they are, whatever their names. A null id
+    counts as the smallest. Repeated rows are one group.
     """
-    kept = simhash_components(docs, id_col, text_col, radius).where("doc_id is not null and doc_id = component_id").select("doc_id").distinct()
-    named = docs.withColumn("__id", F.col(id_col))
-    single = named.where("__id is not null").join(kept.select(F.col("doc_id").alias("__id")), "__id", "left_semi")
-    return single.dropDuplicates(["__id"]).unionByName(named.where("__id is null")).select(*docs.columns)
+    key = F.struct(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("uid"))
+    numbered = materialize(docs.select(F.struct(*docs.columns).alias("row"), key.alias("key"), F.col(text_col).alias("text")), "numbered")
+    grouped = simhash_components(numbered.select("key", "text"), "key", "text", radius)
+    kept = grouped.where(F.col("doc_id.uid") == F.col("component_id.uid")).select(F.col("doc_id.uid").alias("uid"))
+    return numbered.withColumn("uid", F.col("key.uid")).join(kept, "uid", "left_semi").select("row.*")

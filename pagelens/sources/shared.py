@@ -30,9 +30,9 @@ def materialize(df: DataFrame, name: str, bucket_by: str | None = None) -> DataF
     if bucket_by:
         table = f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
         buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        df.write.option("path", path).bucketBy(buckets, bucket_by).format("parquet").saveAsTable(table)
+        df.write.option("path", path).option("compression", "zstd").bucketBy(buckets, bucket_by).format("parquet").saveAsTable(table)
         return spark.table(table)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

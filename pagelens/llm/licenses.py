@@ -124,6 +124,19 @@ def _content_words() -> list[str]:
     return sorted({w for ts in TEMPLATES.values() for t in ts for w in re.findall(r"[^\W_]+", t.lower())} - STOP)
 
 
+def _any_of(own: list[str]) -> str:
+    """A pattern for one of a set of words, which tries each first letter once."""
+    by: dict[str, list[str]] = {}
+    for w in own:
+        by.setdefault(w[:1], []).append(w[1:])
+    return "(?:" + "|".join(k + (_any_of([x for x in v if x]) + ("?" if "" in v else "") if any(v) else "") for k, v in sorted(by.items())) + ")"
+
+
+def holds_content_word(text: Column) -> Column:
+    """Whether one of a text's words is a content word; much cheaper than its words."""
+    return F.lower(text).rlike(r"(?:^|[^\p{L}\p{N}])" + _any_of(_content_words()) + r"(?![\p{L}\p{N}])")
+
+
 def _grams(w: Column, n: int, content: Column) -> Column:
     """The n-grams of a word array that hold a content word."""
     parts = F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.slice(w, i, n))
@@ -179,7 +192,7 @@ def fit(docs: DataFrame, text_col: str = "text", sample_docs: int = SAMPLE_DOCS)
     )
     classes = [*sorted(TEMPLATES), UNKNOWN]
     label = F.array_position(F.array(*map(F.lit, classes)), F.col("family")).cast("double") - 1
-    examples = positive.unionByName(negative).where(F.size("w") > 0).select(label.alias("label"), features(F.col("w"), content).alias("grams"), (F.pmod(F.xxhash64("w", "family"), F.lit(5)) == 0).alias("held"))
+    examples = positive.unionByName(negative).where(F.size("w") > 0).select(label.alias("label"), _once(features(F.col("w"), content)).alias("grams"), (F.pmod(F.xxhash64("w", "family"), F.lit(5)) == 0).alias("held"))
     examples = materialize(examples.withColumn("weight", F.when(F.col("label") == len(classes) - 1, 1.0).otherwise(2.0)), "licence-examples")
     vocabulary = sorted(r["g"] for r in positive.select(F.explode(features(F.col("w"), content)).alias("g")).distinct().collect())  # the templates' n-grams
     vectorizer = CountVectorizerModel.from_vocabulary(vocabulary, "grams", "features").setBinary(True)
@@ -207,9 +220,10 @@ def scan(docs: DataFrame, model: LicenceModel, id_col: str = "doc_id", text_col:
     spark = docs.sparkSession
     content = F.array(*map(F.lit, _content_words()))
     known = len(model.classes) - 1
-    held = paragraphs(docs, id_col, text_col).where(F.arrays_overlap("w", content))
-    scored = model.regression.transform(model.vectorizer.transform(held.withColumn("grams", features(F.col("w"), content))))
-    scored = scored.select("doc_id", "paragraph", "w", vector_to_array("probability").alias("p")).withColumn("probability", F.array_max(F.slice("p", 1, known)))
+    held = paragraphs(docs.where(holds_content_word(F.col(text_col))), id_col, text_col).where(F.arrays_overlap("w", content))
+    held = held.select("doc_id", "paragraph", "w", _once(features(F.col("w"), content)).alias("grams"))
+    scored = model.regression.transform(model.vectorizer.transform(held))
+    scored = scored.select("doc_id", "paragraph", "w", _once(vector_to_array("probability")).alias("p")).withColumn("probability", F.array_max(F.slice("p", 1, known)))
     scored = scored.where((F.col("probability") >= model.threshold) & (F.col("probability") > F.col("p")[known]))
     scored = scored.withColumn("family", F.element_at(F.array(*map(F.lit, model.classes)), F.array_position("p", F.col("probability")).cast("int")))
     own = _rows(spark, [(f, t) for f, ts in TEMPLATES.items() for t in ts]).select("family", F.explode(_pairs(words(F.col("text")))).alias("pair"))

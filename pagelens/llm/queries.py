@@ -98,5 +98,23 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+#: The pages of the test tables hold one article each and few character references, so that patterns can state their text.
+_ARTICLE = "regexp_replace(regexp_extract(html, '<article>(.*?)(?:</article>|<footer|$)', 1, 's'), '<[a-zA-Z/!][^>]*>', ' ', 'g')"
+_TEXT = f"trim(regexp_replace(replace(replace(replace(replace({_ARTICLE}, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&amp;', '&'), '\\s+', ' ', 'g'))"
+_HTML_SQL = f"SELECT page_id, url, {_TEXT} AS text, length({_TEXT}) AS n_chars FROM pages"
+
+_TOPK_SQL = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS w FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(q.w, v.w)::BIGINT AS score FROM v q JOIN v ON q.vec_id % 50 = 0 AND v.vec_id <> q.vec_id AND len(v.w) = len(q.w))
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM scored QUALIFY rank <= 5"""
+
+# A turn adds its four control strings, and a backslash for each backslash or control string inside its role and text.
+_CONTROL = "</s>[INST] ok [/INST]"
+_ESCAPED = r"(length({0}) + len(regexp_extract_all({0}, '\\|<s>|\[INST\]|\[/INST\]|</s>')))"
+_CHAT_SQL = f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL VALUES (-1, 0, 'user', '{_CONTROL}'), (-1, 1, 'assistant', '{_CONTROL}'))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256, coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(20 + {_ESCAPED.format('role')} + {_ESCAPED.format('text')})::BIGINT AS formatted_chars FROM t GROUP BY 1"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_html_text": _HTML_SQL, "op3_exact_topk": _TOPK_SQL, "op7_chat": _CHAT_SQL}

@@ -39,3 +39,23 @@ def has_suffix(name: Column, domain: str) -> Column:
 def by_domain(name: Column, table: list[tuple[str, str]]) -> Column:
     """Value of the first domain of an ordered table that holds a host; null if none does."""
     return F.coalesce(*[F.when(has_suffix(name, d), F.lit(v)) for d, v in table])
+
+
+# Query parameters that an event's URL may keep.
+KEPT_PARAMS = ["page", "variant", "sku", "lang", "locale", "currency"]
+
+
+def sanitized(url: Column) -> Column:
+    """A URL without its fragment, and with no query parameters but the kept ones, by name; one that is not absolute is cut at its first ? or #."""
+    query = F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
+    decoded = lambda x: F.coalesce(F.try_url_decode(x), x)
+    pairs = F.transform(
+        F.filter(F.split(query, "&"), lambda p: p != ""),
+        lambda p, i: F.struct(F.lower(decoded(F.regexp_extract(p, "^([^=]*)", 1))).alias("name"), i.alias("at"), decoded(F.regexp_extract(p, "=(.*)$", 1)).alias("value")),
+    )
+    kept = F.array_sort(F.filter(pairs, lambda p: p["name"].isin(KEPT_PARAMS)))
+    text = F.array_join(F.transform(kept, lambda p: F.concat(p["name"], F.lit("="), F.url_encode(p["value"]))), "&")
+    origin = F.lower(F.regexp_extract(url, r"^([a-zA-Z][a-zA-Z0-9+.-]*://)", 1))
+    authority = F.regexp_replace(F.regexp_replace(F.lower(F.regexp_extract(url, _ABSOLUTE + r"(?:[^/?#@]*@)?([^/?#]*)", 1)), r"^(.*):443$", F.when(origin == "https://", "$1").otherwise("$1:443")), r"^(.*):80$", F.when(origin == "http://", "$1").otherwise("$1:80"))
+    whole = F.concat(origin, authority, path(url), F.when(text == "", "").otherwise(F.concat(F.lit("?"), text)))
+    return F.when(~url.rlike("[?#]"), url).when(is_absolute(url), whole).otherwise(F.regexp_extract(url, r"^([^?#]*)", 1))

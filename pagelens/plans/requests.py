@@ -122,6 +122,10 @@ def url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "pages").select("page_id", urls.host(url).alias("host"), urls.path(url).alias("path"), urls.query_value(url, "page").alias("page"), urls.query_value(url, "ref").alias("ref"))
 
 
+def sanitized_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "pages").select("page_id", urls.sanitized(F.col("url")).alias("clean"))
+
+
 # Path segments that tell a page's kind, in order of precedence.
 PATH_KINDS = [
     ("product", "products product p item items dp sku buy"),
@@ -175,6 +179,7 @@ QUERIES = {
     "kind_platform_cube": (kind_platform_cube, _sql("SELECT coalesce(kind, '*') AS kind, coalesce(platform, '*') AS platform, requests FROM (SELECT kind, platform, count(*) AS requests FROM (SELECT kind, coalesce(platform, 'none') AS platform FROM detected) GROUP BY CUBE (kind, platform))")),
     "referrer_platforms": (referrers, _sql(f"SELECT referrer, {case('h', intent.REFERRERS, chr(40) + '{v} = ' + chr(39) + '{k}' + chr(39) + ' OR ends_with({v}, ' + chr(39) + '.{k}' + chr(39) + '))')} AS referrer_platform, count(*) AS requests FROM (SELECT referrer, {_REF} AS h FROM requests) GROUP BY 1, 2")),
     "url_parts": (url_parts, f"SELECT page_id, {_HOST.format('url')} AS host, {_PATH.format('url')} AS path, {_RAW.format('page')} AS page, {_RAW.format('ref')} AS ref FROM pages"),
+    "sanitized_urls": (sanitized_urls, f"SELECT page_id, CASE WHEN NOT regexp_matches(url, '[?#]') THEN url ELSE regexp_extract(url, '^([^?#]*)', 1) || coalesce('?page=' || {_RAW.format('page')}, '') END AS clean FROM pages"),
     "path_kinds": (
         path_kinds,
         "SELECT CASE " + " ".join(f"WHEN list_has_any(s, [{', '.join(chr(39) + w + chr(39) for w in ws.split(' '))}]) THEN '{k}'" for k, ws in PATH_KINDS) + f" ELSE 'unknown' END AS kind, count(*) AS pages FROM (SELECT {_SEGMENTS} AS s FROM pages) GROUP BY 1",

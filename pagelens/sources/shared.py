@@ -5,7 +5,8 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 DEFAULT_DIR = "/tmp/checkpoints"
 
@@ -46,3 +47,8 @@ def long_rows(spark: SparkSession, rows: int = 1000) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > rows:
         spark.conf.set(key, str(rows))
+
+
+def quoted(name: str) -> Column:
+    """The column of exactly this name, dots and back quotes included."""
+    return F.col(f"`{name.replace('`', '``')}`")

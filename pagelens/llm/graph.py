@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,3 +50,19 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+
+
+def settle(parent: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Unite the ends of links in a least-label forest of flat trees."""
+    while True:
+        a, b = parent[u], parent[v]
+        open_ = a != b
+        if not open_.any():
+            return parent
+        u, v, a, b = u[open_], v[open_], a[open_], b[open_]
+        np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
+        while True:
+            up = parent[parent]
+            if np.array_equal(up, parent):
+                break
+            parent = up

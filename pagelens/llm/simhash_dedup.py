@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from pagelens.llm.graph import connected_components
+from pagelens.llm.graph import connected_components, settle
 from pagelens.sources.shared import long_rows, materialize
 
 SHINGLE_WORDS = 4
@@ -71,22 +71,6 @@ def _grouped(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return x, q[start], start, np.r_[start[1:], len(x)]
 
 
-def _settle(parent: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Unite the ends of links in a least-label forest of flat trees."""
-    while True:
-        a, b = parent[u], parent[v]
-        open_ = a != b
-        if not open_.any():
-            return parent
-        u, v, a, b = u[open_], v[open_], a[open_], b[open_]
-        np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
-        while True:
-            up = parent[parent]
-            if np.array_equal(up, parent):
-                break
-            parent = up
-
-
 def tile_links(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows (fingerprint, least connected fingerprint) within a tile (b None) or between two."""
     a, qa, sa, ea = _grouped(np.ascontiguousarray(a))
@@ -111,7 +95,7 @@ def tile_links(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.nda
             hi = min(lo + step, ea[g])
             i, j = np.nonzero(np.bitwise_count(a[lo:hi, None] ^ other[None, :]) <= radius)
             if len(i):
-                parent = _settle(parent, i + lo, at[j] + base)
+                parent = settle(parent, i + lo, at[j] + base)
     moved = parent != np.arange(len(nodes))
     return nodes[moved], nodes[parent[moved]]
 

@@ -1,10 +1,11 @@
 """Approximate nearest neighbours by randomly rotated one-bit codes.
 
 A row's residual from a centre is rotated and kept as one bit a dimension, with
-two correction scalars: its norm and its inner product with its own code. The
-inner product of a query with the code, over the second scalar, estimates that
-with the row, and the scalars bound the error: with EPSILON it is exceeded
-rarely. A row is reranked by its exact score if its upper bound reaches the
+two correction scalars: its norm and its inner product with its own code. A query
+is rotated and cut into PLANES bit planes; counts of the bits that a plane and a
+code share give their inner product, without unpacking codes. Over the
+second scalar it estimates that with the row, and the scalars bound the error: with
+EPSILON it is exceeded rarely. A row is reranked by its exact score if its upper bound reaches the
 query's kth lower bound in the block or its kth score within a sample.
 """
 
@@ -20,6 +21,7 @@ from pagelens.llm import vectors
 from pagelens.sources.shared import materialize
 
 EPSILON = 2.5
+PLANES = 6  # bits of a query's rotated components
 SEED = 20240601
 
 
@@ -40,30 +42,52 @@ def _load(data: bytes) -> dict[str, np.ndarray]:
         return {k: f[k] for k in f.files}
 
 
-def encode(ids: np.ndarray, matrix: np.ndarray, centre: np.ndarray) -> bytes:
+def words(bits: np.ndarray) -> np.ndarray:
+    """Rows of bits as rows of 64-bit numbers, filled up with zeros."""
+    packed = np.packbits(bits, axis=1)
+    return np.pad(packed, ((0, 0), (0, -packed.shape[1] % 8))).view(np.uint64)
+
+
+def encode(ids: np.ndarray, matrix: np.ndarray, centre: np.ndarray, turn: np.ndarray) -> bytes:
     """A block's codes, correction scalars and original vectors."""
     rest = matrix - centre
     norm = np.sqrt((rest**2).sum(axis=1))
-    turned = (rest / np.where(norm > 0, norm, 1.0)[:, None]) @ rotation(matrix.shape[1])
+    turned = (rest / np.where(norm > 0, norm, 1.0)[:, None]) @ turn
     fit = np.abs(turned).sum(axis=1) / np.sqrt(matrix.shape[1])
-    return _dump(ids=ids, codes=np.packbits(turned > 0, axis=1), norm=norm, fit=np.where(norm > 0, fit, 1.0), vectors=matrix)
+    return _dump(ids=ids, codes=words(turned > 0), norm=norm, fit=np.where(norm > 0, fit, 1.0), vectors=matrix)
+
+
+def planes(queries: np.ndarray, turn: np.ndarray) -> dict[str, np.ndarray]:
+    """Rotated queries in whole steps from their least component: bit planes, step, least, and the sum of what the steps leave out."""
+    turned = queries @ turn
+    low = turned.min(axis=1)
+    step = np.maximum((turned.max(axis=1) - low) / (2**PLANES - 1), 1e-300)
+    level = np.rint((turned - low[:, None]) / step[:, None]).astype(np.int64)
+    cut = np.abs(turned - low[:, None] - level * step[:, None]).sum(axis=1)
+    return {"planes": np.stack([words((level >> j) & 1 == 1) for j in range(PLANES)]), "step": step, "low": low, "total": turned.sum(axis=1), "cut": cut}
 
 
-def estimate(block: dict[str, np.ndarray], queries: np.ndarray, centre: np.ndarray, epsilon: float) -> tuple[np.ndarray, np.ndarray]:
+def estimate(block: dict[str, np.ndarray], query: dict[str, np.ndarray], centre: np.ndarray, epsilon: float) -> tuple[np.ndarray, np.ndarray]:
     """Estimated inner products (queries x rows) and the bounds of their errors."""
+    queries, codes = query["vectors"], block["codes"]
     dim = queries.shape[1]
-    bits = np.unpackbits(block["codes"], axis=1, count=dim).astype(np.float32)
-    turned = (queries @ rotation(dim)).astype(np.float32)
-    signs = (2.0 * (turned @ bits.T) - turned.sum(axis=1, keepdims=True)) / np.sqrt(dim)
+    ones = np.bitwise_count(codes).sum(axis=1, dtype=np.int64)
+    shared = np.empty((len(queries), len(codes)))
+    for i in range(len(queries)):
+        counts = np.zeros(len(codes), np.int64)
+        for j in range(PLANES):
+            counts += np.bitwise_count(codes & query["planes"][j, i]).sum(axis=1, dtype=np.int64) << j
+        shared[i] = query["low"][i] * ones + query["step"][i] * counts
+    signs = (2.0 * shared - query["total"][:, None]) / np.sqrt(dim)
     value = signs * (block["norm"] / block["fit"])[None, :] + (queries @ centre)[:, None]
     spread = block["norm"] * np.sqrt(np.maximum(1.0 - block["fit"] ** 2, 0.0)) / block["fit"] / np.sqrt(max(1, dim - 1))
-    error = epsilon * np.sqrt((queries**2).sum(axis=1))[:, None] * spread[None, :]
-    return value, error + 1e-5 * (1.0 + np.abs(value))
+    error = epsilon * np.sqrt((queries**2).sum(axis=1))[:, None] * spread[None, :] + 2.0 * query["cut"][:, None] / np.sqrt(dim) * (block["norm"] / block["fit"])[None, :]
+    return value, error + 1e-9 * (1.0 + np.abs(value))
 
 
 def compare(block: dict, query: dict, k: int, centre: np.ndarray, epsilon: float) -> tuple:
     """Exact scores of the rows of a block that the bounds leave to each query, its best k."""
-    value, error = estimate(block, query["vectors"], centre, epsilon)
+    value, error = estimate(block, query, centre, epsilon)
     own = query["ids"][:, None] == block["ids"][None, :]
     value[own] = -np.inf
     least = query["bound"]
@@ -74,7 +98,7 @@ def compare(block: dict, query: dict, k: int, centre: np.ndarray, epsilon: float
     for i in range(len(keep)):
         rows = np.flatnonzero(keep[i])
         if len(rows):
-            s = block["vectors"][rows] @ query["vectors"][i]
+            s = (block["vectors"][rows] * query["vectors"][i]).sum(axis=1)  # row by row, so equal vectors score the same wherever they stand
             best = np.lexsort((block["ids"][rows], -s))[:k]
             out.append((np.full(len(best), query["ids"][i]), block["ids"][rows[best]], s[best]))
     if not out:
@@ -96,19 +120,20 @@ def nearest(table: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec
     """
     rows = materialize(vectors.usable(table, id_col, vector_col).where(F.exists("v", lambda x: x != 0)), "vectors")
     taken = vectors.sample(rows)
-    sampled = table.sparkSession.sparkContext.broadcast((taken, {d: m.mean(axis=0) for d, (_, m) in taken.items()}))
+    fitted = {d: (m.mean(axis=0), rotation(d)) for d, (_, m) in taken.items()}  # one rotation for each length of vectors
+    sampled = table.sparkSession.sparkContext.broadcast((taken, fitted))
     asked = rows.where(is_query).groupBy("id").agg(F.min("v").alias("v"))
 
-    def centre(dim: int) -> np.ndarray:
-        return sampled.value[1].get(dim, np.zeros(dim))
+    def of(dim: int) -> tuple[np.ndarray, np.ndarray]:
+        return sampled.value[1].get(dim) or (np.zeros(dim), rotation(dim))  # a length that the sample missed
 
     def query_block(ids: np.ndarray, matrix: np.ndarray) -> bytes:
-        return _dump(ids=ids, vectors=matrix, bound=vectors.lower_bounds(ids, matrix, sampled.value[0], k))
+        return _dump(ids=ids, vectors=matrix, bound=vectors.lower_bounds(ids, matrix, sampled.value[0], k), **planes(matrix, of(matrix.shape[1])[1]))
 
     def pair(data: bytes, query: bytes) -> tuple:
         q = _load(query)
-        return compare(_load(data), q, k, centre(q["vectors"].shape[1]), epsilon)
+        return compare(_load(data), q, k, of(q["vectors"].shape[1])[0], epsilon)
 
-    data = materialize(vectors.blocks(rows, lambda ids, m: encode(ids, m, centre(m.shape[1])), vectors.BLOCK_ROWS), "codes")
+    data = materialize(vectors.blocks(rows, lambda ids, m: encode(ids, m, *of(m.shape[1])), vectors.BLOCK_ROWS), "codes")
     queries = materialize(vectors.blocks(asked, query_block, vectors.QUERY_ROWS), "query-vectors")
     return vectors.search(data, queries, pair, k, "double")

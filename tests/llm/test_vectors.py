@@ -57,6 +57,36 @@ def test_nearest_neighbours_recall(spark):
     assert all(7777 not in (r.vec_id, r.query_id) for r in got)
 
 
+def test_equal_vectors_tie_to_the_smaller_id(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK_ROWS", 70)
+    ids, m = data(400, 33, 3)
+    for at in (20, 40, 60):
+        m[[at + 101, at + 203, at + 305]] = m[at + 7]
+    got = rabitq.nearest(table(spark, ids, m, []), F.col("id") % 20 == 0, 20).collect()
+    by = {}
+    for r in got:
+        by.setdefault((r.query_id, r.score), []).append((r.rank, r.vec_id))
+    assert all([v for _, v in sorted(x)] == sorted(v for _, v in x) for x in by.values())
+    same = [{at + 7, at + 101, at + 203, at + 305} for at in (20, 40, 60)]
+    assert any(len({v for _, v in x} & s) >= 3 for x in by.values() for s in same)
+
+
+def test_packed_estimates_stay_within_their_bounds():
+    ids, m = data(500, 48, 5)
+    m = m.astype(float)
+    turn, centre = rabitq.rotation(48), m.mean(axis=0)
+    block = rabitq._load(rabitq.encode(ids, m, centre, turn))
+    value, error = rabitq.estimate(block, {"vectors": m[:40], **rabitq.planes(m[:40], turn)}, centre, rabitq.EPSILON)
+    assert (np.abs(value - m[:40] @ m.T) <= error).mean() > 0.97
+
+
+def test_pruning_fires():
+    ids, m = data(3000, 16, 7)
+    w = np.floor(m * 256).astype(np.int64)
+    data_tree, query_tree = cover_search.CoverTree(ids, w), cover_search.CoverTree(ids[::50], w[::50])
+    assert len(data_tree.span) > 1 and len(query_tree.span) >= 1 and data_tree.radius.max() > 0
+
+
 def test_fewer_candidates_and_empty_tables(spark):
     few = table(spark, np.array([0, 1, 2]), np.eye(3, 16), [])
     assert cover_search.top_k(few, F.col("id") % 50 == 0, 5).count() == 2

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from pagelens.llm.graph import connected_components, settle
-from pagelens.sources.shared import long_rows, materialize
+from pagelens.sources.shared import long_rows, materialize, quoted
 
 SHINGLE_WORDS = 4
 RADIUS = 4
@@ -135,7 +135,9 @@ def linked_fingerprints(classes: DataFrame, radius: int = RADIUS, tile: int = TI
     pairs = (
         left.join(tiles.select("hi", "lo", "chunk", F.col("fps").alias("b")), ["hi", "lo"])
         .where(~same_key | (F.col("achunk") <= F.col("chunk")))
-        .select(same.alias("same"), "a", F.when(~same, F.col("b")).alias("b"))
+        .select(same.alias("same"), "a", F.when(~same, F.col("b")).alias("b"), F.xxhash64("ahi", "alo", "achunk", "hi", "lo", "chunk").alias("pair"))
+        .repartition("pair")  # the join only brings tiles together; the pairs of the fullest counts are compared in all tasks
+        .drop("pair")
     )
     return pairs.mapInPandas(_compare(radius), "u long, v long")
 
@@ -166,7 +168,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radiu
     counts as the smallest. Repeated rows are one group.
     """
     key = F.struct(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("uid"))
-    numbered = materialize(docs.select(F.struct(*docs.columns).alias("row"), key.alias("key"), F.col(text_col).alias("text")), "numbered")
+    numbered = materialize(docs.select(F.struct(*map(quoted, docs.columns)).alias("row"), key.alias("key"), quoted(text_col).alias("text")), "numbered")
     grouped = simhash_components(numbered.select("key", "text"), "key", "text", radius)
     kept = grouped.where(F.col("doc_id.uid") == F.col("component_id.uid")).select(F.col("doc_id.uid").alias("uid"))
     return numbered.withColumn("uid", F.col("key.uid")).join(kept, "uid", "left_semi").select("row.*")

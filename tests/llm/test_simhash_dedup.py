@@ -48,7 +48,7 @@ def test_tiles_find_every_link():
     at = {int(x): i for i, x in enumerate(values)}
     parent = np.arange(len(values))
     for u, v in edges:
-        parent = s._settle(parent, np.array([at[int(x)] for x in u], int), np.array([at[int(x)] for x in v], int))
+        parent = s.settle(parent, np.array([at[int(x)] for x in u], int), np.array([at[int(x)] for x in v], int))
     groups = lambda labels: {frozenset(i for i, y in enumerate(labels) if y == x) for x in set(labels)}
     assert groups(parent.tolist()) == groups(want)
 

@@ -8,8 +8,8 @@ puts the ids in the order of the positions. A word is sent at most once for each
 block, however often it occurs, so frequent words make no hot key, and a bucket
 is read as a stream.
 
-Decoding joins the table of token bytes, which has as many rows as the
-vocabulary, to the ids by position.
+Decoding joins the table of token bytes to the ids by position: a broadcast join,
+as the table has as many rows as the vocabulary, whatever the corpus.
 """
 
 from __future__ import annotations
@@ -33,8 +33,8 @@ from pagelens.sources.shared import long_rows, materialize
 
 BLOCK_CHARS = 12_000_000  # characters of a block, at most, but for one longer text
 PAGE_TOKENS = 1_000_000  # positions in one row of a block, at most, but for one longer text
-BUCKETS = 256
-WORDS_KEPT = 500_000  # words of a bucket whose ids are kept at hand
+BUCKETS = 256  # of words, at least
+WORDS_KEPT = 500_000  # words of a bucket whose ids are kept at hand; buckets grow in number with the session's shuffle partitions
 
 _OTHER_SPACES = re.compile(r" (?:\s|(?<=\s ))")
 
@@ -88,7 +88,7 @@ class _Block:
             out.append(numbers)
         self.texts.append(b"".join(out))
 
-    def rows(self, block: int) -> Iterator[pd.DataFrame]:
+    def rows(self, block: int, buckets: int) -> Iterator[pd.DataFrame]:
         sizes = [len(t) // 4 for t in self.texts]
         numbers = np.frombuffer(b"".join(self.texts), "<u4")
         self.texts, self.chunks = [], {}
@@ -104,9 +104,9 @@ class _Block:
             yield pd.DataFrame({"block": [block], "bucket": [-1], "doc_ids": [self.ids[lo:hi]], "sizes": [sizes[lo:hi]], "data": [_pack(rank[numbers[at : at + n]])], "words": [None], "lengths": [None]})
             lo, at = hi, at + n
         words = list(self.words)
-        to = np.fromiter((xxhash.xxh32_intdigest(w.encode("utf-8", "surrogatepass")) for w in words), np.uint32, len(words)) % BUCKETS
+        to = np.fromiter((xxhash.xxh32_intdigest(w.encode("utf-8", "surrogatepass")) for w in words), np.uint32, len(words)) % buckets
         compress = zstandard.ZstdCompressor(level=1).compress
-        by = [np.sort(rank[to == b]) for b in range(BUCKETS)]
+        by = [np.sort(rank[to == b]) for b in range(buckets)]
         for b, ranks in enumerate(by):
             if len(ranks):
                 own = [words[order[r]] for r in ranks]
@@ -114,7 +114,7 @@ class _Block:
                 yield pd.DataFrame({"block": [block], "bucket": [b], "doc_ids": [None], "sizes": [None], "data": [_pack(np.diff(ranks, prepend=np.uint32(0)))], "words": [compress(joined)], "lengths": [_pack(np.fromiter(map(len, own), np.uint32, len(own)))]})
 
 
-def _index(pattern: str):
+def _index(pattern: str, buckets: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         compiled = regex.compile(pattern)
         block, n = _Block(compiled), 0
@@ -123,11 +123,11 @@ def _index(pattern: str):
             for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
                 text = text or ""
                 if block.ids and block.chars + len(text) > BLOCK_CHARS:
-                    yield from block.rows(first + n)
+                    yield from block.rows(first + n, buckets)
                     block, n = _Block(compiled), n + 1
                 block.add(doc_id, text)
         if block.ids:
-            yield from block.rows(first + n)
+            yield from block.rows(first + n, buckets)
 
     return run
 
@@ -203,7 +203,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     kind = docs.schema[id_col].dataType.simpleString()
     ranks = spark.sparkContext.broadcast(load_ranks(ranks_path))  # as large as the vocabulary
     blocks = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(
-        _index(pattern), "block long, bucket int, doc_ids array<string>, sizes array<int>, data binary, words binary, lengths binary"
+        _index(pattern, max(BUCKETS, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))), "block long, bucket int, doc_ids array<string>, sizes array<int>, data binary, words binary, lengths binary"
     )
     blocks = materialize(blocks, "blocks", bucket_by="block")  # the pages need no shuffle to meet their words again
     words = blocks.where("bucket >= 0").select("block", "bucket", "data", "words", "lengths").repartition("bucket").sortWithinPartitions("bucket")

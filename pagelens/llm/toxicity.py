@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from pagelens.sources.shared import long_rows, materialize
+from pagelens.sources.shared import long_rows, materialize, quoted
 
 SAMPLE_ROWS = 20_000  # labelled rows that fit the model, at most
 LEXICON_SIZE = 5_000  # entries that the fitted lexicon keeps, at most
@@ -43,12 +43,10 @@ _MASKED = re.compile(r"[^\W\d_]+(?:[0-9@$!|*]+[^\W\d_]+)+")
 _SPACED = re.compile(r"\b(?:[^\W\d_][ .\-*_]){3,}[^\W\d_]\b")
 _RUN = re.compile(r"([^\W\d_])\1{2,}")
 
-_UPPER = np.zeros(0x250, bool)
-_LETTER = np.zeros(0x250, bool)
-_MARK = np.zeros(0x250, bool)
-for _c in range(0x250):
-    _UPPER[_c], _LETTER[_c] = chr(_c).isupper(), chr(_c).isalpha()
-    _MARK[_c] = _c < 128 and not chr(_c).isalnum() and not chr(_c).isspace()
+_PLANE = [chr(c) for c in range(0x10000)]  # the last stands for all beyond, which count as no letters
+_UPPER = np.array([c.isupper() for c in _PLANE])
+_LETTER = np.array([c.isalpha() for c in _PLANE])
+_MARK = np.array([c < "\x80" and not c.isalnum() and not c.isspace() for c in _PLANE])
 N_FEATURES = 16
 
 
@@ -92,7 +90,7 @@ def features(text: str | None, weights: _Weights) -> list[float]:
         left = hits - second[np.maximum(at - 1, 0)]
         right = second[np.minimum(at, len(second) - 1)] - hits
         close = int(((np.abs(left) <= 5) | (np.abs(right) <= 5)).sum())
-    codes = np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), 0x24F)
+    codes = np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), 0xFFFF)
     letters, upper, marks = int(_LETTER[codes].sum()), int(_UPPER[codes].sum()), int(_MARK[codes].sum())
     masked = _MASKED.findall(low) if marks or any(map(str.isdigit, low)) else []
     unmasked = [weights[x] for m in masked for x in _WORD.findall(m.translate(LOOKALIKES).replace("*", ""))]
@@ -204,14 +202,15 @@ def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", prefix:
     """docs with <prefix>score (0 to 1) added; every row stays.
 
     Null and empty texts are scored as texts without a word. Repeated rows get
-    equal scores. An empty table gives an empty result. The added name has a
-    prefix so that it does not clash with columns of docs.
+    equal scores. An empty table gives an empty result. The added column
+    replaces one of its name.
     """
     long_rows(docs.sparkSession)
     name = f"{prefix}score"
+    docs = docs.drop(name)
     if model.trees is None:
         return docs.withColumn(name, F.lit(model.base))
-    own = docs.select(F.struct(*docs.columns).alias("__row"), array_to_vector(_features_udf(model.lexicon)(F.col(text_col))).alias("features"))
+    own = docs.select(F.struct(*map(quoted, docs.columns)).alias("__row"), array_to_vector(_features_udf(model.lexicon)(F.col(text_col))).alias("features"))
     out = model.trees.transform(own).select("__row", vector_to_array("probability")[1].alias("p"))
     if model.calibration is None:
         value = F.col("p")

@@ -54,3 +54,24 @@ def test_features_of_whole_texts():
     assert len(x) == t.N_FEATURES and x[3] > 0 and x[6] > 0
     assert t.features(None, weights) == t.features("", weights) == [0.0] * t.N_FEATURES
     assert F is not None
+
+
+def test_capitals_of_all_scripts_and_a_column_of_the_same_name(spark):
+    weights = t._Weights({})
+    assert t.features("ВСЕ ЗАГЛАВНЫЕ ΟΛΑ", weights)[7] == 1.0
+    assert t.features("😀😀 a", weights)[7] == 0.0
+    docs = spark.createDataFrame([(1, "x", 9.0, 2)], "doc_id long, text string, tox_score double, `a.b` int")
+    scored = t.score(docs, t.ToxicityModel({}, 0.25))
+    assert scored.columns.count("tox_score") == 1 and scored.first().tox_score == 0.25
+
+
+def test_held_out_ranking_on_the_test_tables(spark):
+    """AUC of held-out labels, of a model that has seen the other three quarters."""
+    sf = "/root/testdata/sf0.01"
+    labels, docs = spark.read.parquet(f"{sf}/labels.parquet"), spark.read.parquet(f"{sf}/documents.parquet")
+    model = t.fit(docs, labels.where(~t.held_out()), trees=20)
+    held = labels.where(t.held_out()).where("toxic is not null").select("doc_id", "toxic")
+    rows = t.score(docs.select("doc_id", "text"), model).join(held, "doc_id").select("tox_score", "toxic").collect()
+    good, bad = [r.tox_score for r in rows if not r.toxic], [r.tox_score for r in rows if r.toxic]
+    auc = sum((b > g) + 0.5 * (b == g) for b in bad for g in good) / (len(bad) * len(good))
+    assert auc >= 0.8  # few of these documents have a label; the README has the figures of sf0.1

@@ -57,17 +57,30 @@ def referrer_platform(referrer: Column) -> Column:
     return urls.by_domain(name, REFERRERS)
 
 
-def url_intent(url: Column) -> Column:
-    """STRUCT<query, query_param, utm_source, utm_medium>: the first search parameter that has a value decides, scrubbed or not."""
-    values = [(p, F.nullif(urls.query_value(url, p), F.lit(""))) for p in SEARCH_PARAMS]
-    first = F.coalesce(*[F.when(v.isNotNull(), F.struct(F.lit(p).alias("param"), v.alias("value"))) for p, v in values])
-    query = scrub_query(first["value"])
+def url_intent(rows: DataFrame, url: Column, out: str = "intent") -> DataFrame:
+    """rows with STRUCT<query, query_param, utm_source, utm_medium> added: the first search parameter that has a value decides, scrubbed or not.
 
-    def utm(name: str) -> Column:
-        value = F.lower(F.trim(urls.query_value(url, name)))
-        return F.when(value.rlike(r"^[a-z0-9][a-z0-9._-]{0,63}$"), value)
-
-    return F.struct(query.alias("query"), F.when(query.isNotNull(), first["param"]).alias("query_param"), utm("utm_source").alias("utm_source"), utm("utm_medium").alias("utm_medium"))
+    The query string is read once into a map, and each step has columns of its own, so no expression repeats another.
+    """
+    pairs = F.filter(F.split(F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1), "&"), lambda p: F.contains(p, F.lit("=")))
+    held = F.aggregate(
+        F.transform(pairs, lambda p: F.struct(F.regexp_extract(p, "^([^=]*)=", 1).alias("key"), F.try_url_decode(F.regexp_extract(p, "=(.*)$", 1)).alias("value"))),
+        F.create_map().cast("map<string,string>"),
+        lambda m, p: F.when(F.map_contains_key(m, p["key"]), m).otherwise(F.map_concat(m, F.map_from_arrays(F.array(p["key"]), F.array(p["value"])))),
+    )
+    value = lambda name: F.try_element_at("__params", F.lit(name))
+    first = F.coalesce(*[F.when(F.nullif(value(p), F.lit("")).isNotNull(), F.lit(p)) for p in SEARCH_PARAMS])
+    steps = [
+        {"__params": held},
+        {"__param": first, "__source": F.lower(F.trim(value("utm_source"))), "__medium": F.lower(F.trim(value("utm_medium")))},
+        {"__query": scrub_query(F.try_element_at("__params", F.col("__param")))},
+    ]
+    named = rows
+    for step in steps:
+        named = named.withColumns(step)
+    utm = lambda c: F.when(F.col(c).rlike(r"^[a-z0-9][a-z0-9._-]{0,63}$"), F.col(c))
+    done = F.struct(F.col("__query").alias("query"), F.when(F.col("__query").isNotNull(), F.col("__param")).alias("query_param"), utm("__source").alias("utm_source"), utm("__medium").alias("utm_medium"))
+    return named.withColumn(out, done).drop(*[k for step in steps for k in step])
 
 
 def _lookup(key: Column, table: list[tuple[str, str]]) -> Column:

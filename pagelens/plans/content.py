@@ -60,7 +60,7 @@ def _at_least(value: str, pairs: list[tuple[int, int]]) -> str:
 
 _TEXTS = values("own", "doc_id, text", [(-1 - i, s[0]) for i, s in enumerate(SAMPLES)]) + ", texts AS (SELECT doc_id, text FROM documents UNION ALL SELECT doc_id, text FROM own)"
 _DENSITY = f"""WITH {_TEXTS}, counted AS (SELECT doc_id,
-  len(list_distinct(list_transform(regexp_extract_all(text, '{text.QUANTITY}'), lambda x: replace(lower(x), ' ', '')))) AS quantities,
+  len(list_distinct(list_transform(regexp_extract_all(text, '{text.QUANTITY}'), lambda x: regexp_replace(lower(x), '{text.SPACE}', '', 'g')))) AS quantities,
   len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{text.LABELLED.replace("'", "''")}'))) AS definitions,
   greatest(len(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: starts_with(x, '|') AND ends_with(x, '|') AND NOT regexp_matches(x, '^\\|[\\s:|-]+\\|$') AND len(string_split(x, '|')) >= 4)) - 1, 0) AS comparisons
   FROM texts)
@@ -73,6 +73,6 @@ QUERIES = {
     "sanitized_texts": (sanitized_texts, f"WITH {values('dirty', 'role, text', [('dirty', d) for d in DIRTY])}, c AS (SELECT role, {_CLEAN} AS clean FROM (SELECT role, text FROM conversations UNION ALL SELECT role, text FROM dirty)) SELECT role, clean, left(sha256(role || chr(10) || clean), 16) AS nonce FROM c"),
     "media_classes": (
         media_classes,
-        f"SELECT CASE WHEN k IN ('text/html', 'application/xhtml+xml') THEN 'html' WHEN k IN ('text/markdown', 'text/x-markdown') THEN 'markdown' WHEN k = 'application/json' OR ends_with(k, '+json') THEN 'json' WHEN starts_with(k, 'text/') THEN 'text' ELSE 'other' END AS class, count(*) AS pages, sum(b)::BIGINT AS bytes FROM (SELECT {_KIND} AS k, octet_length(encode(html)) AS b FROM pages) GROUP BY 1",
+        f"SELECT CASE WHEN k IN ('text/html', 'application/xhtml+xml') THEN 'html' WHEN k IN ('text/markdown', 'text/x-markdown') THEN 'markdown' WHEN k = 'application/json' OR ends_with(k, '+json') THEN 'json' WHEN k = 'text/plain' THEN 'text' ELSE 'other' END AS class, count(*) AS pages, sum(b)::BIGINT AS bytes FROM (SELECT {_KIND} AS k, octet_length(encode(html)) AS b FROM pages) GROUP BY 1",
     ),
 }

@@ -65,7 +65,7 @@ SUFFIXES = ["?q=blue+lamp", "?s=&query=red%20lamp&utm_source=News", "?utm_medium
 def url_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
     suffix = F.element_at(F.array(*map(F.lit, SUFFIXES)), (F.col("page_id") % len(SUFFIXES) + 1).cast("int"))
     url = F.concat(F.regexp_extract("url", r"^([^?#]*)", 1), suffix)
-    return read_table(spark, sf_dir, "pages").select("page_id", intent.url_intent(url).alias("i")).select("page_id", "i.*")
+    return intent.url_intent(read_table(spark, sf_dir, "pages").select("page_id", url.alias("url")), F.col("url")).select("page_id", "intent.*")
 
 
 def _scrub(x: str) -> str:

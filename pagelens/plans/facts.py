@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelens.functions import text
-from pagelens.operators import facts
+from pagelens.operators import facts, recommend
 from pagelens.plans.literal import values
 from pagelens.sources.shared import read_table
 
@@ -116,12 +116,8 @@ def threshold_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ranked_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three checks of each document that lose most points; ties in the order of the checks. Small groups: 22 rows a document."""
-    from pyspark.sql import Window
-
-    lost = _check_rows(spark, sf_dir).withColumn("points", F.col("weight") - F.col("earned")).where("points > 0")
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("points"), "i"))
-    return lost.withColumn("rank", rank).where("rank <= 3").select("doc_id", "rank", "check", F.col("points").cast("long").alias("points"))
+    """All fixes of each document's checks, in order of the points they could bring, each lost point counted once."""
+    return recommend.recommend(_check_rows(spark, sf_dir), "doc_id")
 
 
 def _list(names: list[str]) -> str:
@@ -162,5 +158,15 @@ QUERIES = {
     "dimension_scores": (dimension_scores, f"WITH {_CHECKED} SELECT doc_id, dimension, sum(earned)::BIGINT AS earned, sum(weight)::BIGINT AS weight, bool_or(basis = 'heuristic') AS heuristic FROM rows GROUP BY 1, 2"),
     "grades": (grades, f"WITH {_CHECKED} SELECT doc_id, score, grade FROM graded"),
     "threshold_gate": (threshold_gate, f"WITH {_CHECKED} SELECT doc_id // 100 AS run, count(*) FILTER (grade NOT IN ('A', 'B', 'C')) AS missed, arg_max(grade, struct_pack(s := -score, d := doc_id)) AS worst_grade, CASE WHEN bool_and(grade IN ('A', 'B', 'C')) THEN 'ok' ELSE 'threshold' END AS exit FROM graded GROUP BY 1"),
-    "ranked_fixes": (ranked_fixes, f"""WITH {_CHECKED} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY weight - earned DESC, i) AS rank, "check", weight - earned AS points FROM rows WHERE weight > earned QUALIFY rank <= 3"""),
+    "ranked_fixes": (
+        ranked_fixes,
+        f"""WITH {_CHECKED}, {values("rules", 'place, fix, effort, "check", closes, zero', [(p, f, e, c, k, "|".join(z)) for p, f, e, c, k, z in recommend.ROWS])},
+        gaps AS (SELECT doc_id, "check", greatest(weight - earned, 0) AS gap FROM rows), nothing AS (SELECT doc_id, list("check") AS unearned FROM rows WHERE earned = 0 GROUP BY 1),
+        able AS (SELECT g.*, place, fix, effort, closes FROM gaps g JOIN rules USING ("check") LEFT JOIN nothing n ON n.doc_id = g.doc_id WHERE zero = '' OR list_has_all(coalesce(unearned, []), string_split(zero, '|'))),
+        valued AS (SELECT *, sum(CASE WHEN closes THEN gap ELSE 0 END) OVER (PARTITION BY doc_id, place) AS own, sum(gap) OVER (PARTITION BY doc_id, place) AS raw FROM able),
+        ranked AS (SELECT *, dense_rank() OVER (PARTITION BY doc_id ORDER BY raw DESC, effort, place) AS o FROM valued WHERE own > 0 AND gap > 0),
+        claimed AS (SELECT * FROM ranked QUALIFY row_number() OVER (PARTITION BY doc_id, "check" ORDER BY o) = 1)
+        SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY o)::INT AS rank, fix, {_list(recommend.EFFORTS)}[effort + 1] AS effort, sum(gap)::BIGINT AS points,
+          coalesce(string_agg("check", ',' ORDER BY "check") FILTER (closes), '') AS closes, coalesce(string_agg("check", ',' ORDER BY "check") FILTER (NOT closes), '') AS opens FROM claimed GROUP BY doc_id, o, fix, effort""",
+    ),
 }

@@ -29,7 +29,7 @@ def tag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _nodes(spark, sf_dir).where("type = 'element'").groupBy("tag").agg(F.count("*").alias("elements"), F.count_distinct("page_id").alias("pages"))
 
 
-_DECODE = "replace(replace(replace(replace({0}, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&amp;', '&')"
+_DECODE = "replace(replace(replace(replace(replace(replace(replace({0}, '&copy;', '©'), '&middot;', '·'), '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&amp;', '&')"
 _BARE = r"regexp_replace(regexp_replace(regexp_replace(html, '<script>.*?</script>', ' ', 'gs'), '<style>.*?</style>', ' ', 'gs'), '<!--.*?-->|</?[a-zA-Z!][^>]*>', ' ', 'gs')"
 _VISIBLE = f"trim(regexp_replace({_DECODE.format(_BARE)}, '[\\s]+', ' ', 'g'))"
 QUERIES = {

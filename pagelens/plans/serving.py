@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagelens.functions import money, urls
+from pagelens.functions import money, urls, validate
 from pagelens.operators import evaluation, limiter, robots
 from pagelens.plans.literal import table, values
 from pagelens.sources.shared import read_table
@@ -135,24 +135,30 @@ def site_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("n_name", F.concat(F.lit("# "), F.col("n_name"), F.lit("\n\n> Suppliers\n\n## Products\n\n"), lines, F.lit("\n")).alias("document"))
 
 
-# Derived event objects: which check fails first, in the order of validation.
+# The first problems of derived events, in the order of validation: SQL of when, and the message.
+PROBLEMS = [
+    ("k % 11 = 0", "missing required field 'event_id'"), ("k % 13 = 0", "missing required field 'ts'"), ("k % 17 = 0", "missing required field 'store_id'"), ("k % 4 = 2", "'requester.kind' is not a known kind"),
+    ("k % 5 = 0", "missing required field 'requester.verified'"), ("k % 7 = 0", "missing required field 'request.url'"), ("k % 3 = 2", "'response.path' is not a known path"),
+    ("k % 19 = 0 OR value IS NULL", "missing required field 'response.render_ms'"), ("k % 29 = 0", "'response.profile_id' must be a bounded profile identifier"), ("k % 31 = 0", "'response.profile_version' must be a positive integer"),
+    ("k % 23 = 0", "'response.coverage' is not a known coverage"), ("k % 37 = 0", "'outcome.order_value_minor' requires nonnegative integer minor units and currency"), ("k % 6 = 0", "'outcome.currency' must be a three-letter uppercase currency code"),
+]
+
+
 def event_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first problem of events as JSON-like rows; null fields are missing ones."""
-    k = F.col("event_id")
+    """How many typed events, derived from events with fields left out or wrong, have which first problem."""
+    k, none = F.col("event_id"), F.lit(None)
+    pick = lambda items: F.element_at(F.array(*map(F.lit, items)), (k % len(items) + 1).cast("int"))
     rows = read_table(spark, sf_dir, "events").select(
-        F.when(k % 11 != 0, k.cast("string")).alias("id"), F.when(k % 13 != 0, F.col("ts").cast("string")).alias("ts"), F.when(k % 17 != 0, "store").alias("store"),
-        F.element_at(F.array(*map(F.lit, ["agent", "human", "robot", "crawler"])), (k % 4 + 1).cast("int")).alias("kind"), F.when(k % 5 != 0, False).alias("verified"),
-        F.when(k % 7 != 0, "https://x.example/").alias("url"), F.element_at(F.array(*map(F.lit, ["markdown", "denied", "html"])), (k % 3 + 1).cast("int")).alias("path"),
-        F.when(k % 19 != 0, F.col("value")).alias("render_ms"), F.when(k % 23 == 0, "maybe").alias("coverage"), F.when(k % 6 == 0, "usd").alias("currency"),
+        F.when(k % 11 != 0, k.cast("string")).alias("event_id"), F.when(k % 13 != 0, F.col("ts").cast("string")).alias("ts"), F.when(k % 17 != 0, "store").alias("store_id"),
+        F.struct(pick(["agent", "human", "robot", "crawler"]).alias("kind"), none.cast("string").alias("platform"), F.when(k % 5 != 0, False).alias("verified")).alias("requester"),
+        F.struct(F.when(k % 7 != 0, "https://x.example/").alias("url"), F.create_map().cast("map<string,string>").alias("intent_signals"), none.cast("string").alias("accept"), none.cast("string").alias("referrer")).alias("request"),
+        F.struct(
+            pick(["markdown", "denied", "html"]).alias("path"), none.cast("string").alias("variant_id"), F.when(k % 19 != 0, F.col("value").cast("double")).alias("render_ms"), none.cast("string").alias("source"),
+            F.when(k % 23 == 0, "maybe").alias("coverage"), F.when(k % 29 == 0, "Bad Id").alias("profile_id"), F.when(k % 31 == 0, 0).cast("long").alias("profile_version"), none.cast("long").alias("compatibility_runtime"),
+        ).alias("response"),
+        F.struct(none.cast("boolean").alias("purchase"), F.when(k % 37 == 0, -1).cast("long").alias("order_value_minor"), F.when(k % 6 == 0, "usd").alias("currency"), none.cast("double").alias("order_value")).alias("outcome"),
     )
-    checks = [
-        (F.col("id").isNull(), "event_id missing"), (F.col("ts").isNull(), "ts missing"), (F.col("store").isNull(), "store_id missing"),
-        (~F.col("kind").isin("agent", "human", "protocol", "crawler"), "requester.kind unknown"), (F.col("verified").isNull(), "requester.verified missing"), (F.col("url").isNull(), "request.url missing"),
-        (~F.col("path").isin("markdown", "html-variant", "protocol", "denied"), "response.path unknown"), (F.col("render_ms").isNull(), "response.render_ms missing"),
-        (F.col("coverage").isNotNull() & ~F.col("coverage").isin("sourced", "unsourced", "not-applicable"), "response.coverage unknown"), (~F.col("currency").rlike("^[A-Z]{3}$"), "outcome.currency malformed"),
-    ]
-    problem = F.coalesce(*[F.when(c, F.lit(m)) for c, m in checks])
-    return rows.groupBy(problem.alias("problem")).agg(F.count("*").alias("events"))
+    return rows.groupBy(validate.first_problem().alias("problem")).agg(F.count("*").alias("events"))
 
 
 def _arr(items: list[str]) -> str:
@@ -224,9 +230,5 @@ QUERIES = {
         f"""WITH {_PRICED} SELECT p_partkey, '{{"@context":"https://schema.org","@type":"Product","name":' || to_json(p_name)::VARCHAR || ',"brand":{{"@type":"Brand","name":' || to_json(p_brand)::VARCHAR || '}},"offers":{{"@type":"Offer","price":"' || {_DECIMAL} || '","priceCurrency":"' || currency || '","availability":"https://schema.org/InStock"}}}}' AS json FROM priced""",
     ),
     "site_index": (site_index, f"SELECT n_name, '# ' || n_name || chr(10) || chr(10) || '> Suppliers' || chr(10) || chr(10) || '## Products' || chr(10) || chr(10) || string_agg('- [' || s_name || '](https://x.example/s/' || s_suppkey::VARCHAR || '): ' || {_INDEX_PRICE}, chr(10) ORDER BY s_suppkey) || chr(10) AS document FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1"),
-    "event_problems": (
-        event_problems,
-        """WITH r AS (SELECT event_id AS k, value FROM events) SELECT CASE WHEN k % 11 = 0 THEN 'event_id missing' WHEN k % 13 = 0 THEN 'ts missing' WHEN k % 17 = 0 THEN 'store_id missing' WHEN k % 4 = 2 THEN 'requester.kind unknown' WHEN k % 5 = 0 THEN 'requester.verified missing' WHEN k % 7 = 0 THEN 'request.url missing'
-        WHEN k % 3 = 2 THEN 'response.path unknown' WHEN k % 19 = 0 OR value IS NULL THEN 'response.render_ms missing' WHEN k % 23 = 0 THEN 'response.coverage unknown' WHEN k % 6 = 0 THEN 'outcome.currency malformed' END AS problem, count(*) AS events FROM r GROUP BY 1""",
-    ),
+    "event_problems": (event_problems, "SELECT " + "CASE " + " ".join(f"WHEN {c} THEN '" + m.replace("'", "''") + "'" for c, m in PROBLEMS) + " END AS problem, count(*) AS events FROM (SELECT event_id AS k, value FROM events) GROUP BY 1"),
 }

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelens.llm import bpe, chat, cover_search, html_text, licenses, line_dedup, packing, rabitq, simhash_dedup, toxicity
+from pagelens.llm import bpe, chat, cover_search, html_text, lexical_search, licenses, line_dedup, packing, periodic_runs, rabitq, simhash_dedup, toxicity
 from pagelens.sources.shared import read_table
 
 
@@ -83,6 +83,32 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def planted_runs(docs: DataFrame) -> DataFrame:
+    """doc_id and text, for a tenth of the ids with a tail of words that repeats with a period."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    rows = docs.select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "")).alias("words"))
+    rows = rows.select("doc_id", "text", "h", "words", F.size("words").cast("long").alias("n"), F.expr("h div 10").alias("g"))
+    rows = rows.select("*", F.when(F.col("n") > 0, F.col("g") % F.col("n")).alias("a"))
+    rows = rows.select("*", F.expr("1 + (n - a) div (3 + g % 8)").alias("p"))
+    tail = "slice(flatten(array_repeat(slice(words, cast(a as int) + 1, cast(p as int)), cast((n - a) div p as int) + 1)), 1, cast(n - a as int))"
+    return rows.select("doc_id", F.expr(f"case when n > 0 then array_join(concat(slice(words, 1, cast(a as int)), {tail}), ' ') else text end").alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(planted_runs(read_table(spark, sf_dir, "documents")))
+    longest = F.expr("array_max(transform(runs, r -> struct(r.length as length, -r.start as start, -r.period as period)))")
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n")))
+    rows = found.select("doc_id", "runs", "collapsed", longest.alias("top"))
+    return rows.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("top.start")).alias("start"), F.col("top.length"), (-F.col("top.period")).alias("period"),
+        F.expr("1000 * top.length div -top.period").alias("exponent_milli"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
@@ -95,6 +121,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": op8_packing,
         "op9_rabitq": op9_rabitq,
         "op10_toxicity": op10_toxicity,
+        "op12_lexical_search": op12_lexical_search,
+        "op13_periodic_runs": op13_periodic_runs,
     }
 
 
@@ -115,6 +143,32 @@ _CHAT_SQL = f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coa
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256, coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(20 + {_ESCAPED.format('role')} + {_ESCAPED.format('text')})::BIGINT AS formatted_chars FROM t GROUP BY 1"""
 
+_LEXICAL_SQL = r"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+lengths AS (SELECT doc_id, count(*) AS n FROM t GROUP BY 1), whole AS (SELECT count(*) AS docs, sum(n)::BIGINT AS tokens FROM lengths),
+tfs AS (SELECT doc_id, term, count(*) AS tf FROM t WHERE term IN (SELECT term FROM q) GROUP BY 1, 2),
+weights AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tfs, whole GROUP BY term, docs),
+m AS (SELECT doc_id, 100 - 90 + (90 * n * docs) // tokens AS m FROM lengths, whole),
+scored AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score FROM q JOIN tfs USING (term) JOIN weights USING (term) JOIN m USING (doc_id) GROUP BY 1, 2)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM scored WHERE score > 0 QUALIFY rank <= 10"""
+
+# crc32 bit by bit: DuckDB has no function of this name. Runs: equal triples of words a period apart, in unbroken rows; a run within one of a shorter period is none.
+_CRC = "xor(list_reduce(range(8 * length(doc_id::VARCHAR)), lambda c, i: CASE WHEN (xor(c, CASE WHEN i % 8 = 0 THEN ascii(substr(doc_id::VARCHAR, (i // 8 + 1)::BIGINT, 1)) ELSE 0 END) & 1) = 1 THEN xor(xor(c, CASE WHEN i % 8 = 0 THEN ascii(substr(doc_id::VARCHAR, (i // 8 + 1)::BIGINT, 1)) ELSE 0 END) >> 1, 3988292384) ELSE xor(c, CASE WHEN i % 8 = 0 THEN ascii(substr(doc_id::VARCHAR, (i // 8 + 1)::BIGINT, 1)) ELSE 0 END) >> 1 END, 4294967295::BIGINT), 4294967295)"
+_RUNS_SQL = rf"""WITH raw AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words, {_CRC} AS h FROM documents),
+sized AS (SELECT doc_id, words, h, len(words) AS n, h // 10 AS g, CASE WHEN len(words) > 0 THEN (h // 10) % len(words) END AS a FROM raw),
+planted AS (SELECT doc_id, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: CASE WHEN i < a THEN words[i + 1] ELSE words[a + (i - a) % (1 + (n - a) // (3 + g % 8)) + 1] END) ELSE words END AS words FROM sized),
+w AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS i FROM planted),
+t AS (SELECT doc_id, i, hash(word, lead(word) OVER d, lead(word, 2) OVER d) AS triple, lead(word, 2) OVER d IS NOT NULL AS whole FROM w WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+same AS (SELECT b.doc_id, b.i, b.i - a.i AS q FROM t a JOIN t b ON a.doc_id = b.doc_id AND a.triple = b.triple AND a.i < b.i WHERE a.whole AND b.whole),
+rows_ AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS row_ FROM same),
+stretch AS (SELECT doc_id, q, min(i) - q AS s, max(i) + 2 AS e FROM rows_ GROUP BY doc_id, q, row_ HAVING max(i) + 3 - min(i) + q >= greatest(6, 4 * q)),
+runs AS (SELECT * FROM stretch x WHERE NOT EXISTS (SELECT 1 FROM stretch y WHERE y.doc_id = x.doc_id AND y.q < x.q AND y.s <= x.s AND y.e >= x.e)),
+found AS (SELECT doc_id, count(*) AS n_runs, min(struct_pack(l := -(e - s + 1), s := s, q := q)) AS top, string_agg(s || ',' || (e - s + 1) || ',' || q || chr(10), '' ORDER BY s, q) AS lines FROM runs GROUP BY 1),
+dropped AS (SELECT DISTINCT doc_id, unnest(range(s + q, e + 1)) AS i FROM runs),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS words FROM w ANTI JOIN dropped USING (doc_id, i) GROUP BY 1)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, top.s AS start, -top.l AS length, top.q AS period, (1000 * -top.l) // top.q AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept.words, '')) AS collapsed_sha256
+FROM documents LEFT JOIN found USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_html_text": _HTML_SQL, "op3_exact_topk": _TOPK_SQL, "op7_chat": _CHAT_SQL}
+    return {"op2_html_text": _HTML_SQL, "op3_exact_topk": _TOPK_SQL, "op7_chat": _CHAT_SQL, "op12_lexical_search": _LEXICAL_SQL, "op13_periodic_runs": _RUNS_SQL}

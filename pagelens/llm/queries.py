@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelens.llm import bpe, chat, cover_search, html_text, lexical_search, licenses, line_dedup, packing, periodic_runs, rabitq, simhash_dedup, toxicity
+from pagelens.llm import bpe, chat, cover_search, html_text, lexical_search, licenses, line_dedup, minhash_dedup, packing, periodic_runs, rabitq, simhash_dedup, toxicity
 from pagelens.sources.shared import read_table
 
 
@@ -83,6 +83,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.components(read_table(spark, sf_dir, "documents"))
+
+
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -121,6 +125,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": op8_packing,
         "op9_rabitq": op9_rabitq,
         "op10_toxicity": op10_toxicity,
+        "op11_minhash_dedup": op11_minhash_dedup,
         "op12_lexical_search": op12_lexical_search,
         "op13_periodic_runs": op13_periodic_runs,
     }
@@ -143,6 +148,14 @@ _CHAT_SQL = f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coa
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256, coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(20 + {_ESCAPED.format('role')} + {_ESCAPED.format('text')})::BIGINT AS formatted_chars FROM t GROUP BY 1"""
 
+_NEAR_SQL = r"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+g AS (SELECT doc_id, unnest(CASE WHEN len(words) < 2 THEN words ELSE list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) END) AS gram FROM w),
+n AS (SELECT doc_id, count(gram) AS n FROM w LEFT JOIN g USING (doc_id) GROUP BY 1),
+pairs AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS both FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY 1, 2),
+near AS (SELECT u, v FROM pairs JOIN n x ON u = x.doc_id JOIN n y ON v = y.doc_id WHERE 100 * both >= 80 * (x.n + y.n - both)),
+reach AS (SELECT u, v FROM (SELECT u, v FROM near UNION ALL SELECT v, u FROM near) UNION SELECT r.u, s.v FROM reach r JOIN (SELECT u, v FROM near UNION ALL SELECT v, u FROM near) s ON r.v = s.u)
+SELECT n.doc_id, n.n AS n_shingles, least(n.doc_id, coalesce(min(v), n.doc_id)) AS component_id, least(n.doc_id, coalesce(min(v), n.doc_id)) = n.doc_id AS kept FROM n LEFT JOIN reach ON n.doc_id = u GROUP BY 1, 2"""
+
 _LEXICAL_SQL = r"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
 q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
 lengths AS (SELECT doc_id, count(*) AS n FROM t GROUP BY 1), whole AS (SELECT count(*) AS docs, sum(n)::BIGINT AS tokens FROM lengths),
@@ -171,4 +184,4 @@ FROM documents LEFT JOIN found USING (doc_id) LEFT JOIN kept USING (doc_id)"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_html_text": _HTML_SQL, "op3_exact_topk": _TOPK_SQL, "op7_chat": _CHAT_SQL, "op12_lexical_search": _LEXICAL_SQL, "op13_periodic_runs": _RUNS_SQL}
+    return {"op2_html_text": _HTML_SQL, "op3_exact_topk": _TOPK_SQL, "op7_chat": _CHAT_SQL, "op11_minhash_dedup": _NEAR_SQL, "op12_lexical_search": _LEXICAL_SQL, "op13_periodic_runs": _RUNS_SQL}

@@ -151,8 +151,8 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 _NEAR_SQL = r"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
 g AS (SELECT doc_id, unnest(CASE WHEN len(words) < 2 THEN words ELSE list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) END) AS gram FROM w),
 n AS (SELECT doc_id, count(gram) AS n FROM w LEFT JOIN g USING (doc_id) GROUP BY 1),
-pairs AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS both FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY 1, 2),
-near AS (SELECT u, v FROM pairs JOIN n x ON u = x.doc_id JOIN n y ON v = y.doc_id WHERE 100 * both >= 80 * (x.n + y.n - both)),
+pairs AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS common FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY 1, 2),
+near AS (SELECT u, v FROM pairs JOIN n x ON u = x.doc_id JOIN n y ON v = y.doc_id WHERE 100 * common >= 80 * (x.n + y.n - common)),
 reach AS (SELECT u, v FROM (SELECT u, v FROM near UNION ALL SELECT v, u FROM near) UNION SELECT r.u, s.v FROM reach r JOIN (SELECT u, v FROM near UNION ALL SELECT v, u FROM near) s ON r.v = s.u)
 SELECT n.doc_id, n.n AS n_shingles, least(n.doc_id, coalesce(min(v), n.doc_id)) AS component_id, least(n.doc_id, coalesce(min(v), n.doc_id)) = n.doc_id AS kept FROM n LEFT JOIN reach ON n.doc_id = u GROUP BY 1, 2"""
 

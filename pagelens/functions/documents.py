@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+from decimal import Decimal
+from math import isinf
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -59,12 +61,44 @@ def front_matter(title: Column, description: Column, url: Column, updated: Colum
     return F.when(F.octet_length(full) <= FRONT_MATTER_BYTES, full).when(F.octet_length(short) <= FRONT_MATTER_BYTES, short).otherwise("")
 
 
+def number(value: float) -> str:
+    """A number as JSON writers of web pages write it: the shortest digits, plain from 1e-6 up to below 1e21."""
+    if isinstance(value, int) and abs(value) > 2**53:
+        value = float(value)
+    if value == 0 or isinf(value):
+        return "null" if value else "0"
+    sign, digits, point = Decimal(repr(value)).normalize().as_tuple()
+    text, n = "".join(map(str, digits)), len(digits) + point  # 0.text times ten to the n
+    if 0 < n <= 21:
+        plain = text.ljust(n, "0")[:n] + ("." + text[n:] if len(text) > n else "")
+    elif -6 < n <= 0:
+        plain = "0." + "0" * -n + text
+    else:
+        plain = text[0] + ("." + text[1:] if len(text) > 1 else "") + f"e{n - 1:+d}"
+    return "-" * sign + plain
+
+
+def canonical(value) -> str:
+    """A JSON value without spaces, keys in the order of their UTF-16 units."""
+    if isinstance(value, dict):
+        return "{" + ",".join(f"{canonical(k)}:{canonical(value[k])}" for k in sorted(value, key=lambda k: k.encode("utf-16-be", "surrogatepass"))) + "}"
+    if isinstance(value, list):
+        return "[" + ",".join(map(canonical, value)) + "]"
+    if isinstance(value, (int, float)) and not isinstance(value, bool):
+        return number(value)
+    return json.dumps(value, ensure_ascii=False)
+
+
+def _no_number(name: str):
+    raise ValueError(name)
+
+
 @F.udf(StringType(), useArrow=True)
 def canonical_json(value: str | None) -> str | None:
-    """A JSON text with sorted keys and no spaces; null if it does not parse."""
+    """A JSON text in canonical form; null if it does not parse. A number beyond the range of doubles is null."""
     try:
-        return None if value is None else json.dumps(json.loads(value, parse_constant=lambda _: None), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
-    except ValueError:
+        return None if value is None else canonical(json.loads(value, parse_constant=_no_number))
+    except (ValueError, OverflowError, RecursionError):
         return None
 
 

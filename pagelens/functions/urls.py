@@ -18,6 +18,12 @@ def host(url: Column) -> Column:
     return F.nullif(found, F.lit(""))
 
 
+def origin(url: Column) -> Column:
+    """Scheme and authority of an absolute URL in lower case, without the scheme's own port; null unless absolute."""
+    found = F.lower(F.regexp_extract(url, r"^([a-zA-Z][a-zA-Z0-9+.-]*://)(?:[^/?#@]*@)?([^/?#]*)", 1)), F.lower(F.regexp_extract(url, r"^([a-zA-Z][a-zA-Z0-9+.-]*://)(?:[^/?#@]*@)?([^/?#]*)", 2))
+    return F.when(is_absolute(url), F.regexp_replace(F.concat(*found), r"^(https://[^/]*?):443$|^(http://[^/]*?):80$", "$1$2"))
+
+
 def path(url: Column) -> Column:
     """Path of an absolute URL ("/" if empty), else the text before the first # or ?."""
     own = F.regexp_extract(url, _ABSOLUTE + r"[^/?#]*([^?#]*)", 1)

@@ -31,8 +31,8 @@ from pagelens.sources.shared import long_rows, materialize, quoted
 
 SUPPORT = 0.9  # share of a host's distinct pages on which a text of its own occurs
 MIN_PAGES = 5  # distinct pages of a host that a class of its template has, at least
-SLOTS = 64  # slots of a host that are told apart: the innermost, deepest ones
 MASS = 0.5  # share of a host's text that its main slot holds
+DEPTH = 256  # elements within each other that have tokens; what is deeper belongs to the last of them
 
 # Element names of HTML, by how they are read here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -42,17 +42,17 @@ CLOSES_P = frozenset("address article aside blockquote details div dl fieldset f
 ASIDE_TAGS = frozenset("head nav footer aside form button select option svg canvas object audio video dialog template menu datalist fieldset".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 ASIDE_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner sponsor sponsored sponsors promo promotion sidebar side menu nav navbar navigation breadcrumb breadcrumbs "
-    "footer masthead topbar cookie cookies consent gdpr notice notices alert newsletter subscribe subscription signup popup modal overlay comment comments respond disqus "
-    "replies share sharing social related recommended widget widgets toolbar pagination pager login".split()
+    "ad ads adv advert adverts advertisement advertising banner sponsor sponsored sponsors promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs "
+    "footer masthead topbar cookie cookies consent gdpr notice notices alert newsletter subscribe subscription signup popup modal overlay comment comments discussion respond disqus "
+    "replies share sharing social related recommended popular trending read viewed teaser teasers outbrain taboola widget widgets toolbar pagination pager login".split()
 )
 #: Words that may stand beside an aside word in a class name or id, which must consist of such words as a whole.
-NEUTRAL_WORDS = frozenset("site main left right top bottom primary secondary global header bar box block wrapper wrap container section area list item items link links inner outer post posts articles content text slot unit form buttons".split())
+NEUTRAL_WORDS = frozenset("side reader readers user users thread threads story stories article articles news most more now manager label site main left right top bottom primary secondary global header bar box block wrapper wrap container section area list item items link links inner outer post posts articles content text slot unit form buttons".split())
 MAIN_TAGS = frozenset(("article", "main"))
 LEAF_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd ul ol dl pre blockquote figure figcaption tr td th caption summary address".split())  # parts of a text, no slots
 
-_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
-_LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
+_NAMED = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_STOP = re.compile(r"""[>"']""")
 _ATTR = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
 _NAME = re.compile(r"[a-z]+|[0-9]+")
 
@@ -60,7 +60,7 @@ _NAME = re.compile(r"[a-z]+|[0-9]+")
 class _Element:
     __slots__ = ("name", "token", "aside", "main", "tokens", "named", "around")
 
-    def __init__(self, name: str, token: str, aside: bool, main: bool, tokens: tuple[int, ...], named: tuple[int, ...] = (), around: tuple[int, ...] = ()):
+    def __init__(self, name: str, token: str, aside: bool, main: int, tokens: tuple[int, ...], named: tuple[int, ...] = (), around: tuple[int, ...] = ()):
         self.name, self.token, self.aside, self.main, self.tokens = name, token, aside, main, tokens
         self.named, self.around = named, around  # elements above with an aside name; those of them in which the main slot began
 
@@ -91,17 +91,21 @@ def _is_named_aside(name: str, attrs: dict[str, str]) -> bool:
 
 
 class Page:
-    """Blocks (text, aside, main, tokens of the open elements) and element tokens with their positions."""
+    """Blocks (text, aside, main, tokens of the open elements) and element tokens with their positions.
+
+    main is the number of the outermost article or main element round a block, 0 for none; main elements have numbers below 0.
+    """
 
     def __init__(self, source: str):
-        self.blocks: list[tuple[str, bool, bool, tuple[int, ...]]] = []
+        self.blocks: list[tuple[str, bool, int, tuple[int, ...]]] = []
         self.elements: list[int] = []
         self.leaves: set[int] = set()
         self.title = ""
-        self._stack = [_Element("", "", False, False, ())]
+        self._stack = [_Element("", "", False, 0, ())]
         self._parts: list[str] = []
         self._found: list[tuple[str, _Element]] = []
-        self._named = 0
+        self._named = self._mains = 0
+        self._counts: dict[str, int] = {}
         self._read(source)
         self._settle()
 
@@ -146,21 +150,29 @@ class Page:
             attrs.setdefault(word.lower().rstrip("/"), "")
         top = self._stack[-1]
         if name in INLINE:
-            aside = top.aside or _is_aside(name, attrs, top.main)
+            aside = top.aside or _is_aside(name, attrs, bool(top.main))
             named = self._names(top, name, attrs)
             if aside and not top.aside or named != top.named:
                 self._flush()
-            self._stack.append(_Element(name, top.token, aside, top.main, top.tokens, named, top.around))
+            self._push(_Element(name, top.token, aside, top.main, top.tokens, named, top.around))
             return
         own = f"{name}.{(attrs.get('class') or '').split(' ')[0]}"
         token = _hash(f"{top.token}>{own}")
         self.elements.append(token)
         if name in LEAF_TAGS:
             self.leaves.add(token)
-        main = top.main or name in MAIN_TAGS or attrs.get("role", "").lower() == "main"
+        main = top.main
+        if not main and (name in MAIN_TAGS or attrs.get("role", "").lower() == "main"):
+            self._mains += 1
+            main = self._mains if name == "article" else -self._mains
         named = self._names(top, name, attrs)
         around = top.around if top.main or not main else named
-        self._stack.append(_Element(name, own, top.aside or _is_aside(name, attrs, main), main, (*top.tokens, token), named, around))
+        tokens = (*top.tokens, token) if len(top.tokens) < DEPTH else top.tokens
+        self._push(_Element(name, own, top.aside or _is_aside(name, attrs, bool(main)), main, tokens, named, around))
+
+    def _push(self, element: _Element) -> None:
+        self._stack.append(element)
+        self._counts[element.name] = self._counts.get(element.name, 0) + 1
 
     def _names(self, top: _Element, name: str, attrs: dict[str, str]) -> tuple[int, ...]:
         if not _is_named_aside(name, attrs):
@@ -169,18 +181,38 @@ class Page:
         return (*top.named, self._named)
 
     def _close(self, name: str, edge: frozenset = frozenset()) -> None:
+        if not self._counts.get(name):
+            return
         for i in range(len(self._stack) - 1, 0, -1):
             own = self._stack[i].name
             if own == name:
                 if name not in INLINE or (self._stack[i].aside, self._stack[i].named) != (self._stack[i - 1].aside, self._stack[i - 1].named):
                     self._flush()
+                for e in self._stack[i:]:
+                    self._counts[e.name] -= 1
                 del self._stack[i:]
                 return
             if own in edge:
                 return
 
+    def _tag_end(self, source: str, at: int) -> int:
+        """Place of the > that ends a tag, -1 if none does. Quoted values may hold one; from the first quote on that nothing closes, quotes count as any character, so that no part is read again for each tag."""
+        start = at
+        while not self._loose:
+            m = _STOP.search(source, at)
+            if not m:
+                break
+            if m[0] == ">":
+                return m.start()
+            at = source.find(m[0], m.end()) + 1
+            if not at:
+                break
+        self._loose = True
+        return source.find(">", start)
+
     def _read(self, source: str) -> None:
         at, n = 0, len(source)
+        self._last, self._loose = source.rfind(">"), False
         while at < n:
             lt = source.find("<", at)
             if lt < 0:
@@ -196,12 +228,13 @@ class Page:
                 end = source.find(">", lt)
                 at = n if end < 0 else end + 1
                 continue
-            m = _TAG.match(source, lt) or _LOOSE_TAG.match(source, lt)
-            if not m:
+            m = _NAMED.match(source, lt) if lt < self._last else None
+            end = self._tag_end(source, m.end()) if m else -1
+            if end < 0:
                 self._parts.append("<")
                 at = lt + 1
                 continue
-            at, name = m.end(), m[2].lower()
+            at, name, rest = end + 1, m[2].lower(), source[m.end() : end]
             if m[1]:
                 if name in RAW:
                     continue
@@ -217,7 +250,7 @@ class Page:
                 close = source.find(">", end.end()) if end else -1
                 at = n if close < 0 else close + 1
                 continue
-            self._open(name, m[3])
+            self._open(name, rest)
         self._flush()
 
 
@@ -227,10 +260,10 @@ def host_of(url: Column) -> Column:
 
 
 def _occurrences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A row for each token of each page: host, token, page (a hash of its blocks), count, place (0 to 1), characters, depth, whether it is text."""
+    """A row for each token of each page: host, source (a hash of its html), token, page (a hash of its blocks), count, place (0 to 1), characters, depth, whether it is text."""
     for pdf in batches:
         out: list[tuple] = []
-        for host, source in zip(pdf["host"], pdf["html"]):
+        for host, name_of, source in zip(pdf["host"], pdf["source"], pdf["html"]):
             page = Page(source or "")
             name = _hash("\n".join([page.title, *(b[0] for b in page.blocks)]))
             n = max(1, len(page.elements))
@@ -245,17 +278,18 @@ def _occurrences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     for depth, token in enumerate(tokens):
                         seen[token][2] += 0 if token in page.leaves else len(text)
                         seen[token][3] = max(seen[token][3], depth)
-            out += [(host, token, name, c, place, max(0, mass), total, depth, mass < 0) for token, (c, place, mass, depth) in seen.items()]
-        yield pd.DataFrame(out, columns=["host", "token", "page", "count", "place", "mass", "total", "depth", "is_text"])
+            out += [(host, name_of, token, name, c, place, max(0, mass), total, depth, mass < 0) for token, (c, place, mass, depth) in seen.items()]
+        yield pd.DataFrame(out, columns=["host", "source", "token", "page", "count", "place", "mass", "total", "depth", "is_text"])
 
 
-def templates(pages: DataFrame) -> DataFrame:
-    """For each host what its template says of pages: own_texts (tokens of blocks that it repeats) and slots (tokens of main slots, innermost first).
+def templates(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What the template of each host says of pages (host, source, html): host and own_texts (tokens of blocks that it repeats); host, source and slot (token of the innermost main slot that a page has).
 
-    pages: host, html. Only tokens of several pages are gathered for a host: texts of most
-    of its pages, and of its classes one slot each, SLOTS at most, so a row is as large as a page's structure.
+    Only texts that most pages of a host repeat are gathered for it, no more than a page holds. Slots meet
+    pages in a join on tokens, so a host may have any number of layouts.
     """
-    rows = pages.mapInPandas(_occurrences, "host string, token long, page long, count int, place double, mass long, total long, depth int, is_text boolean")
+    rows = pages.mapInPandas(_occurrences, "host string, source long, token long, page long, count int, place double, mass long, total long, depth int, is_text boolean")
+    rows = materialize(rows, "page-tokens")
     once = rows.groupBy("host", "token", "page").agg(F.max("count").alias("count"), F.avg("place").alias("place"), F.max("mass").alias("mass"), F.max("total").alias("total"), F.max("depth").alias("depth"), F.max("is_text").alias("is_text"))
     vectors = once.groupBy("host", "token").agg(
         F.count("*").alias("pages"), F.bit_xor(F.xxhash64("page", "count")).alias("vector"), F.max("count").alias("most"),
@@ -274,20 +308,28 @@ def templates(pages: DataFrame) -> DataFrame:
     held = F.filter("tokens", lambda t: (t["most"] == 1) & (t["mass"] >= MASS * t["total"]))
     deepest = F.array_max(F.transform(held, lambda t: F.struct(t["depth"].alias("depth"), t["token"].alias("token"))))
     # A class on fewer pages lies within those on more; within equal ones the deeper slot is the inner one.
-    nested = valid.select("host", F.struct("pages", (-deepest["depth"]).alias("depth"), deepest["token"].alias("token")).alias("slot")).where("slot.token is not null")
-    slots = nested.groupBy("host").agg(F.slice(F.array_sort(F.collect_list("slot")), 1, SLOTS).alias("slots"))
-    return totals.join(own, "host", "left").join(slots, "host", "left").select("host", "own_texts", F.transform("slots", lambda t: t["token"]).alias("slots"))
+    slot = F.struct("pages", (-deepest["depth"]).alias("depth"), deepest["token"].alias("token"))
+    slots = valid.select("host", slot.alias("slot")).where("slot.token is not null").groupBy("host", F.col("slot.token").alias("token")).agg(F.min("slot").alias("slot"))
+    held_by = rows.where("mass > 0").select("host", "source", "token").join(slots, ["host", "token"])
+    chosen = held_by.groupBy("host", "source").agg(F.min("slot")["token"].alias("slot"))
+    return totals.join(own, "host", "left").select("host", "own_texts"), chosen
 
 
-def main_text(source: str | None, own_texts, slots) -> str:
-    """The text of a page's main slot; blocks joined by a space. Without any slot, its text without the host's own texts."""
+def main_text(source: str | None, own_texts, slot: int = 0) -> str:
+    """The text of a page's main slot; blocks joined by a space. Without a slot (0), its text without the host's own texts.
+
+    Articles or main elements round or in the slot take its place; of those the main elements, if there are some.
+    """
     page = Page(source or "")
     blocks = [b for b in page.blocks if not b[1]]
-    slot = next((x for x in (() if slots is None else slots) if any(x in b[3] for b in blocks)), None)
-    within = [b for b in blocks if slot in b[3]] if slot is not None else blocks
-    if any(b[2] for b in within):  # the article or main element round or in the slot
-        return " ".join(b[0] for b in blocks if b[2])
-    if slot is None and own_texts is not None and len(own_texts):
+    within = [b for b in blocks if slot in b[3]]
+    slotted = bool(within)
+    within = within or blocks
+    mains = {b[2] for b in within if b[2]}
+    mains = {x for x in mains if x < 0} or mains
+    if mains:
+        return " ".join(b[0] for b in blocks if b[2] in mains)
+    if not slotted and own_texts is not None and len(own_texts):
         own = set(own_texts)
         within = [b for b in within if _hash(f"text:{b[0]}") not in own]
     return " ".join(b[0] for b in within)
@@ -303,18 +345,20 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", out_
     column of its name; other columns stay.
     """
     long_rows(pages.sparkSession)
-    host = host_of(quoted(url_col))
-    learned = materialize(templates(pages.select(host.alias("host"), quoted(html_col).alias("html"))), "templates")
+    host, source = host_of(quoted(url_col)), F.xxhash64(quoted(html_col))
+    own, chosen = templates(pages.select(host.alias("host"), source.alias("source"), quoted(html_col).alias("html")))
+    own, chosen = materialize(own, "own-texts"), materialize(chosen, "slots")
     run = _text_udf()
     keep = [quoted(c) for c in pages.columns if c != out_col]
-    rows = pages.select(F.struct(*keep).alias("row"), host.alias("host"), quoted(html_col).alias("source")).join(learned, "host", "left")
-    return rows.select("row", run("source", "own_texts", "slots").alias(out_col)).select("row.*", out_col)
+    rows = pages.select(F.struct(*keep).alias("row"), host.alias("host"), source.alias("source"), quoted(html_col).alias("html"))
+    rows = rows.join(own, "host", "left").join(chosen, ["host", "source"], "left")
+    return rows.select("row", run("html", "own_texts", F.coalesce("slot", F.lit(0))).alias(out_col)).select("row.*", out_col)
 
 
 def _text_udf():
     def run(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for source, own_texts, slots in parts:
-            yield pd.Series([main_text(*x) for x in zip(source, own_texts, slots)], dtype=object)
+        for source, own_texts, slot in parts:
+            yield pd.Series([main_text(*x) for x in zip(source, own_texts, slot.tolist())], dtype=object)
 
     run.__annotations__ = {"parts": Iterator[tuple[pd.Series, pd.Series, pd.Series]], "return": Iterator[pd.Series]}
     return F.pandas_udf(run, StringType())

@@ -6,16 +6,16 @@ PAGE = """<!DOCTYPE html><html><head><title>T &amp; x</title><style>p{{}}</style
 
 
 def test_article_text():
-    assert h.main_text(PAGE.format(1), (), None) == "Title 1 First 1 line Second <b> aébc"
+    assert h.main_text(PAGE.format(1), ()) == "Title 1 First 1 line Second <b> aébc"
 
 
 def test_odd_sources():
-    assert h.main_text(None, (), None) == h.main_text("", (), None) == h.main_text("<script>x", (), None) == ""
-    assert h.main_text("plain < 3 &amp; text", (), None) == "plain < 3 & text"
-    assert h.main_text("<p>a<p>b</b></i><div>c", (), None) == "a b c"
-    assert h.main_text('<article><p title="a>b" hidden>gone</p>kept<!-- no --> too</article>', (), None) == "kept too"
-    assert h.main_text("<article>" + "<div>" * 3000 + "deep", (), None) == "deep"
-    assert h.main_text('<a href="unclosed>x</a> y', (), None) in ("x y", "")
+    assert h.main_text(None, ()) == h.main_text("", ()) == h.main_text("<script>x", ()) == ""
+    assert h.main_text("plain < 3 &amp; text", ()) == "plain < 3 & text"
+    assert h.main_text("<p>a<p>b</b></i><div>c", ()) == "a b c"
+    assert h.main_text('<article><p title="a>b" hidden>gone</p>kept<!-- no --> too</article>', ()) == "kept too"
+    assert h.main_text("<article>" + "<div>" * 3000 + "deep", ()) == "deep"
+    assert h.main_text('<a href="unclosed>x</a> y', ()) in ("x y", "")
 
 
 def pages(spark, rows):
@@ -47,6 +47,13 @@ def test_each_layout_of_a_host_has_its_slot(spark):
     assert {r.page_id: r.text for r in h.extract(pages(spark, rows)).collect()} == {i: told(i) for i in range(16)}
 
 
+def test_no_number_of_layouts_takes_a_slot_from_the_main_one(spark):
+    small = [(1000 * k + i, "https://a.example/x", story(1000 * k + i, f"small{k}")) for k in range(70) for i in range(5)]
+    rows = small + [(i, "https://a.example/x", story(i)) for i in range(40)]
+    got = {r.page_id: r.text for r in h.extract(pages(spark, rows)).collect()}
+    assert got == {i: told(i) for i, *_ in rows}
+
+
 def test_long_and_deeply_repeated_pages(spark):
     long_page = "<article>" + "<p>word word</p>" * 20_000 + "</article>"
     rows = [(1, "https://a.example/", long_page), (2, "https://a.example/", "<div>" * 2000 + "deep"), (2, "https://a.example/", "<div>" * 2000 + "deep")]

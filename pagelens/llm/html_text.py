@@ -32,12 +32,13 @@ from pagelens.sources.shared import long_rows, materialize, quoted
 SUPPORT = 0.9  # share of a host's distinct pages on which a text of its own occurs
 MIN_PAGES = 5  # distinct pages of a host that a class of its template has, at least
 MASS = 0.5  # share of a host's text that its main slot holds
+INLINE = 1024  # slots of a host up to which they travel with its row; those of larger hosts meet their pages in a join on tokens
 DEPTH = 256  # elements within each other that have tokens; what is deeper belongs to the last of them
 
 # Element names of HTML, by how they are read here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+IN_TEXT = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 ASIDE_TAGS = frozenset("head nav footer aside form button select option svg canvas object audio video dialog template menu datalist fieldset".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
@@ -135,7 +136,7 @@ class Page:
         self.blocks = [(text, e.aside or any(i not in kept for i in e.named), e.main, e.tokens) for text, e in self._found]
 
     def _open(self, name: str, rest: str) -> None:
-        if name not in INLINE:
+        if name not in IN_TEXT:
             self._flush()
         if name in VOID:
             return
@@ -149,7 +150,7 @@ class Page:
         for word in re.sub(r"""=\s*("[^"]*"|'[^']*'|[^\s>]+)""", "", rest).split():
             attrs.setdefault(word.lower().rstrip("/"), "")
         top = self._stack[-1]
-        if name in INLINE:
+        if name in IN_TEXT:
             aside = top.aside or _is_aside(name, attrs, bool(top.main))
             named = self._names(top, name, attrs)
             if aside and not top.aside or named != top.named:
@@ -186,7 +187,7 @@ class Page:
         for i in range(len(self._stack) - 1, 0, -1):
             own = self._stack[i].name
             if own == name:
-                if name not in INLINE or (self._stack[i].aside, self._stack[i].named) != (self._stack[i - 1].aside, self._stack[i - 1].named):
+                if name not in IN_TEXT or (self._stack[i].aside, self._stack[i].named) != (self._stack[i - 1].aside, self._stack[i - 1].named):
                     self._flush()
                 for e in self._stack[i:]:
                     self._counts[e.name] -= 1
@@ -238,7 +239,7 @@ class Page:
             if m[1]:
                 if name in RAW:
                     continue
-                if name not in INLINE:
+                if name not in IN_TEXT:
                     self._flush()
                 self._close(name)
                 continue
@@ -283,13 +284,11 @@ def _occurrences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def templates(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """What the template of each host says of pages (host, source, html): host and own_texts (tokens of blocks that it repeats); host, source and slot (token of the innermost main slot that a page has).
+    """What the template of each host says of pages (host, source, html): host, own_texts (tokens of blocks that it repeats), slots (tokens of main slots, innermost first, null if there are over INLINE), many; and, for pages of such hosts, host, source and slot.
 
-    Only texts that most pages of a host repeat are gathered for it, no more than a page holds. Slots meet
-    pages in a join on tokens, so a host may have any number of layouts.
+    Only texts that most pages of a host repeat are gathered for it, no more than a page holds.
     """
     rows = pages.mapInPandas(_occurrences, "host string, source long, token long, page long, count int, place double, mass long, total long, depth int, is_text boolean")
-    rows = materialize(rows, "page-tokens")
     once = rows.groupBy("host", "token", "page").agg(F.max("count").alias("count"), F.avg("place").alias("place"), F.max("mass").alias("mass"), F.max("total").alias("total"), F.max("depth").alias("depth"), F.max("is_text").alias("is_text"))
     vectors = once.groupBy("host", "token").agg(
         F.count("*").alias("pages"), F.bit_xor(F.xxhash64("page", "count")).alias("vector"), F.max("count").alias("most"),
@@ -310,18 +309,24 @@ def templates(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     # A class on fewer pages lies within those on more; within equal ones the deeper slot is the inner one.
     slot = F.struct("pages", (-deepest["depth"]).alias("depth"), deepest["token"].alias("token"))
     slots = valid.select("host", slot.alias("slot")).where("slot.token is not null").groupBy("host", F.col("slot.token").alias("token")).agg(F.min("slot").alias("slot"))
-    held_by = rows.where("mass > 0").select("host", "source", "token").join(slots, ["host", "token"])
+    counted = slots.groupBy("host").agg(F.count("*").alias("n"))
+    slots = materialize(slots.join(counted, "host").withColumn("many", F.col("n") > INLINE), "slots")
+    listed = slots.where("not many").groupBy("host").agg(F.transform(F.array_sort(F.collect_list("slot")), lambda t: t["token"]).alias("slots"))
+    learned = totals.join(own, "host", "left").join(listed, "host", "left").join(slots.where("many").select("host", "many").distinct(), "host", "left")
+    held_by = rows.where("mass > 0").select("host", "source", "token").join(slots.where("many").select("host", "token", "slot"), ["host", "token"])
     chosen = held_by.groupBy("host", "source").agg(F.min("slot")["token"].alias("slot"))
-    return totals.join(own, "host", "left").select("host", "own_texts"), chosen
+    return learned.select("host", "own_texts", "slots", F.coalesce("many", F.lit(False)).alias("many")), chosen
 
 
-def main_text(source: str | None, own_texts, slot: int = 0) -> str:
-    """The text of a page's main slot; blocks joined by a space. Without a slot (0), its text without the host's own texts.
+def main_text(source: str | None, own_texts, slots=()) -> str:
+    """The text of a page's main slot, the first of slots that it has; blocks joined by a space. Without any, its text without the host's own texts.
 
     Articles or main elements round or in the slot take its place; of those the main elements, if there are some.
     """
     page = Page(source or "")
     blocks = [b for b in page.blocks if not b[1]]
+    held = {t for b in blocks for t in b[3]}
+    slot = next((x for x in (() if slots is None else slots) if x in held), None)
     within = [b for b in blocks if slot in b[3]]
     slotted = bool(within)
     within = within or blocks
@@ -346,19 +351,22 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", out_
     """
     long_rows(pages.sparkSession)
     host, source = host_of(quoted(url_col)), F.xxhash64(quoted(html_col))
-    own, chosen = templates(pages.select(host.alias("host"), source.alias("source"), quoted(html_col).alias("html")))
-    own, chosen = materialize(own, "own-texts"), materialize(chosen, "slots")
+    learned, chosen = templates(pages.select(host.alias("host"), source.alias("source"), quoted(html_col).alias("html")))
+    learned = materialize(learned, "templates")
     run = _text_udf()
     keep = [quoted(c) for c in pages.columns if c != out_col]
-    rows = pages.select(F.struct(*keep).alias("row"), host.alias("host"), source.alias("source"), quoted(html_col).alias("html"))
-    rows = rows.join(own, "host", "left").join(chosen, ["host", "source"], "left")
-    return rows.select("row", run("html", "own_texts", F.coalesce("slot", F.lit(0))).alias(out_col)).select("row.*", out_col)
+    rows = pages.select(F.struct(*keep).alias("row"), host.alias("host"), source.alias("source"), quoted(html_col).alias("html")).join(learned, "host", "left")
+    found = rows.where(~F.coalesce("many", F.lit(False)))
+    if not learned.where("many").isEmpty():
+        large = rows.where("many").join(materialize(chosen, "chosen-slots"), ["host", "source"], "left")
+        found = found.unionByName(large.withColumn("slots", F.when(F.col("slot").isNotNull(), F.array("slot"))).select(*found.columns))
+    return found.select("row", run("html", "own_texts", "slots").alias(out_col)).select("row.*", out_col)
 
 
 def _text_udf():
     def run(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for source, own_texts, slot in parts:
-            yield pd.Series([main_text(*x) for x in zip(source, own_texts, slot.tolist())], dtype=object)
+        for source, own_texts, slots in parts:
+            yield pd.Series([main_text(*x) for x in zip(source, own_texts, slots)], dtype=object)
 
     run.__annotations__ = {"parts": Iterator[tuple[pd.Series, pd.Series, pd.Series]], "return": Iterator[pd.Series]}
     return F.pandas_udf(run, StringType())

@@ -1,3 +1,5 @@
+from unittest import mock
+
 from pagelens.llm import html_text as h
 
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; x</title><style>p{{}}</style><script>var a="</p>";</script></head><body class="page menu-open"><div class="cookie-notice">We use cookies</div>
@@ -50,8 +52,10 @@ def test_each_layout_of_a_host_has_its_slot(spark):
 def test_no_number_of_layouts_takes_a_slot_from_the_main_one(spark):
     small = [(1000 * k + i, "https://a.example/x", story(1000 * k + i, f"small{k}")) for k in range(70) for i in range(5)]
     rows = small + [(i, "https://a.example/x", story(i)) for i in range(40)]
-    got = {r.page_id: r.text for r in h.extract(pages(spark, rows)).collect()}
-    assert got == {i: told(i) for i, *_ in rows}
+    for inline in (h.INLINE, 9):  # with the host's row, and by a join on tokens
+        with mock.patch.object(h, "INLINE", inline):
+            got = {r.page_id: r.text for r in h.extract(pages(spark, rows)).collect()}
+        assert got == {i: told(i) for i, *_ in rows}
 
 
 def test_long_and_deeply_repeated_pages(spark):

@@ -45,6 +45,11 @@ def v4_label(number: int) -> str:
     return next((label for a, b, label in _V4 if a <= number <= b), "public")
 
 
+def v4_label_sql(number: str) -> str:
+    """The label of an address as a number, as a SQL expression."""
+    return "CASE " + " ".join(f"WHEN {number} BETWEEN {a} AND {b} THEN '{label}'" for a, b, label in _V4) + " ELSE 'public' END"
+
+
 def v6_digits(text: str) -> str | None:
     """The 32 hexadecimal digits of an IPv6 literal, without brackets and with a zone or not; null if it is none."""
     try:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelens.functions import addresses, events, links, normalize, urls
-from pagelens.operators import access, page_types, pages
+from pagelens.operators import access, page_facts, page_types, pages
 from pagelens.plans.literal import case, table, values
 from pagelens.plans.pages import _DECODE
 from pagelens.plans.requests import REQUESTS_SQL, detected
@@ -29,45 +31,38 @@ def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SUFFIXES = [" | Shop", " — Shop · Lamps", "", " :: Shop » Home", " - Shop"]
-# Kinds and values as pages write them.
+# Kinds and values as pages write them, and their normal forms in SQL; {n} is a supplier's name, {k} its key, {d} a day, {m} a number of minutes.
 STATED = [
-    ("availability", "https://schema.org/InStock"), ("availability", "Sold out"), ("availability", "LimitedAvailability"), ("availability", "soon"), ("phone", "+1 (415) 555-0142"), ("phone", "tel:+4930123456"), ("phone", "12"),
-    ("published", "2024-03-09T10:00:00Z"), ("published", "2024/03/09"), ("published", "9 March 2024"), ("updated", "Mar 9, 2024"), ("updated", "yesterday"), ("duration", "PT1H30M"), ("duration", "P1D"), ("duration", "45 min read"),
-    ("duration", "2 hours"), ("duration", "soon"), ("email", "mailto:A@B.example"), ("email", "a b"), ("currency", "eur"), ("currency", "euro"), ("item-count", "1,204 items"), ("item-count", "none"), ("title", " Blue  Lamp | Shop"),
-    ("shipping", "free"), ("price", "Price on request"), ("brand", "  ACME  Corp "), ("sku", ""),
+    ("availability", "https://schema.org/InStock", "'instock'"), ("availability", "Sold\u00a0out", "'outofstock'"), ("availability", "soon", "NULL"), ("phone", "+1 (415) 555-{k}", "CASE WHEN length(k) <= 8 THEN '+1415555' || k END"), ("phone", "{k}", "CASE WHEN length(k) BETWEEN 7 AND 15 THEN k END"),
+    ("published", "\u3000{d} March 2024", "'2024-03-' || lpad(d, 2, '0')"), ("published", "2024/03/09", "'2024-03-09'"), ("updated", "Mar {d}, 2024", "'2024-03-' || lpad(d, 2, '0')"), ("updated", "yesterday", "NULL"), ("duration", "PT1H{m}M", "(60 + m::INT)::VARCHAR"), ("duration", "{m}\u00a0min read", "nullif(m, '0')"),
+    ("duration", "2 hours", "'120'"), ("email", "mailto:S{k}@B.example", "'s' || k || '@b.example'"), ("email", "a b", "NULL"), ("currency", " eur", "'EUR'"), ("currency", "euro", "NULL"), ("item-count", "1,2{d} items", "'12' || d"), ("item-count", "none", "NULL"),
+    ("title", "\u00a0{n}\u2003 Lamp\u00a0| Shop | Home", "lower(n) || ' lamp'"), ("title", "{n} — x", "lower(n)"), ("shipping", "free", "'declared'"), ("price", "Price on request", "'unpriced'"), ("brand", "\u00a0 {n}  Corp ", "lower(n) || ' corp'"), ("sku", "\u00a0", "NULL"),
 ]
 
 
 def stated_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Normal forms of stated values, for each supplier's own writing of them."""
-    rows = read_table(spark, sf_dir, "supplier").select("s_suppkey").crossJoin(F.broadcast(table(spark, "kind string, value string", STATED)))  # a fixed number of rows
+    """Normal forms of values that suppliers state of themselves."""
+    own = {"{n}": F.col("s_name"), "{k}": F.col("s_suppkey").cast("string"), "{d}": (F.col("s_suppkey") % 28 + 1).cast("string"), "{m}": (F.col("s_suppkey") % 60).cast("string")}
+    forms = F.explode(F.array(*[F.struct(F.lit(i).alias("form"), F.lit(kind).alias("kind"), F.lit(value).alias("value")) for i, (kind, value, _) in enumerate(STATED)])).alias("f")
+    rows = read_table(spark, sf_dir, "supplier").select("*", forms).select("s_suppkey", "f.form", "f.kind", reduce(lambda v, x: F.replace(v, F.lit(x[0]), x[1]), own.items(), F.col("f.value")).alias("value"))
     none = F.lit(None).cast("string")
-    own = rows.select("s_suppkey", "kind", F.when(F.col("s_suppkey") % 2 == 0, F.upper("value")).otherwise(F.col("value")).alias("value"))
-    return own.groupBy("kind", "value", normalize.fact(F.col("kind"), F.col("value"), none, none).alias("normal")).agg(F.count("*").alias("suppliers"))
-
-
-_LABELS = {
-    "price": "price cost", "availability": "availability|stock", "brand": "brand|manufacturer", "sku": "sku|item number|product code|mpn", "shipping": "shipping|delivery", "returns": "returns|return policy|refunds",
-    "description": "description|summary", "updated": "updated|last updated|modified", "published": "published|date published", "author": "author|written by", "phone": "phone|telephone|tel", "email": "email|e-mail",
-}
-# Lines with labels, beside those of the documents.
-LABELLED = ["**Price:** 12 EUR", "- Stock: in stock", "> Return policy: 30 days", "Author : Ann", "Delivery:", "plain text: not a label at all that is known", "Tel: 5", "a very long label that has more than thirty-two characters: x", "Item number:`A-1`"]
-_LEXICON = [(label, kind) for kind, own in _LABELS.items() for label in own.replace("price cost", "price|cost").split("|")]
+    return rows.select("s_suppkey", "form", "kind", normalize.fact(F.col("kind"), F.col("value"), none, none).alias("normal"))
 
 
 def labelled_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often lines `label: value` state a fact of which kind."""
-    own = read_table(spark, sf_dir, "documents").select(F.explode(F.split("text", "\n")).alias("line")).unionByName(table(spark, "line string", [(x,) for x in LABELLED]))
-    at = F.instr("line", ":")
-    split = own.where(at.between(1, 33)).select(F.substr("line", F.lit(1), at - 1).alias("label"), F.substr("line", at + 1).alias("value"))
-    label = F.lower(F.trim(F.regexp_replace(F.regexp_replace("label", r"^[\s>*\-+#]+", ""), "[*_`]", "")))
-    value = F.trim(F.regexp_replace("value", r"^[\s*_`]+", ""))
-    named = split.select(label.alias("label"), value.alias("value")).where("value != ''").join(F.broadcast(table(spark, "label string, kind string", _LEXICON)), "label")
-    return named.groupBy("kind", "label").agg(F.count("*").alias("lines"))
+    own = read_table(spark, sf_dir, "documents").select("text").unionByName(table(spark, "text string", [(x,) for x in LABELLED]))
+    found = own.select(F.explode(page_facts.labelled_lines(F.col("text"))).alias("l")).select("l.kind", "l.label")
+    return found.groupBy("kind", "label").agg(F.count("*").alias("lines"))
+
+
+# Lines with labels, beside those of the documents.
+LABELLED = ["**Price:** 12 EUR", "- Stock: in stock", "> Return policy: 30 days", "Author : Ann", "Delivery:", "plain text: not a label at all that is known", "Tel: 5", "a very long label that has more than thirty-two characters: x", "Item number:`A-1`"]
+_LEXICON = list(page_facts.LABELS.items())
 
 
 # Links as pages write them.
-HREFS = ["a.html", "../b", "./c/./d", "/e/../f", "?q=1", "#top", "//cdn.example/x", "HTTPS://Y.example", "mailto:a@b.example", "../../../g/", ""]
+HREFS = ["a b.html?q=x y", "https://z.example:443/é", "a.html", "../b", "./c/./d", "/e/../f", "?q=1", "#top", "//cdn.example/x", "HTTPS://Y.example", "mailto:a@b.example", "../../../g/", ""]
 
 
 def resolved_links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,6 +131,22 @@ def public_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hosts.groupBy("domain", events.is_public_domain(F.col("domain")).alias("public")).agg(F.count("*").alias("n"))
 
 
+_STATED_SQL = "WITH s AS (SELECT s_suppkey, s_name AS n, s_suppkey::VARCHAR AS k, (s_suppkey % 28 + 1)::VARCHAR AS d, (s_suppkey % 60)::VARCHAR AS m FROM supplier) " + " UNION ALL ".join(f"SELECT s_suppkey, {i} AS form, '{kind}' AS kind, {normal} AS normal FROM s" for i, (kind, _, normal) in enumerate(STATED))
+_UP = "regexp_replace({0}, '[^/]+/$', '')"
+_TARGETS = [
+    "origin || folder || 'a%20b.html?q=x%20y'", "'https://z.example/%C3%A9'", "origin || folder || 'a.html'", f"origin || {_UP.format('folder')} || 'b'", "origin || folder || 'c/d'", "origin || '/f'", "origin || path || '?q=1'", "origin || path || query || '#top'", "regexp_extract(origin, '^([a-z]+:)', 1) || '//cdn.example/x'", "'https://y.example/'",
+    "'mailto:a@b.example'", f"origin || {_UP.format(_UP.format(_UP.format('folder')))} || 'g/'", "origin || path || query",
+]
+_LINKS_SQL = f"""WITH b AS (SELECT page_id, [{", ".join(f"'{h}'" for h in HREFS)}][(page_id % {len(HREFS)} + 1)::INT] AS href, lower(regexp_extract(url, '^([a-z]+://[^/?#]*)', 1)) AS origin, coalesce(nullif(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), ''), '/') AS path, regexp_extract(url, '^[^?#]*([?][^#]*)', 1) AS query FROM pages),
+f AS (SELECT *, regexp_extract(path, '^(.*/)', 1) AS folder FROM b) SELECT page_id, href, CASE page_id % {len(HREFS)} {" ".join(f"WHEN {i} THEN {t}" for i, t in enumerate(_TARGETS))} END AS target FROM f"""
+_V4_SQL = addresses.v4_label_sql
+_ADDRESS_FORMS = [
+    ("6", "v4 <> 'public'", "'IPv4-mapped → ' || v4"), ("6", "v4 <> 'public'", "'NAT64 64:ff9b::/96 → ' || v4"), ("6", "true", "'link-local (fe80::/10)'"), ("6", f"{_V4_SQL('x * 65537')} <> 'public'", f"'6to4 2002::/16 → ' || {_V4_SQL('x * 65537')}"),
+    ("6", "true", "'documentation (2001:db8::/32)'"), ("6", "true", "'unique local (fc00::/7)'"), ("6", "false", "'public'"), ("6", "true", "'IPv4-compatible → ' || v4"), ("6", "true", "'unparseable IPv6 literal'"), ("4", "v4 <> 'public'", "v4"), ("4", "true", "'unparseable IPv4 literal'"),
+    ("NULL", "NULL", "NULL"),
+]
+_ADDRESS_SQL = f"""WITH a AS (SELECT event_id % {len(SUBNETS)} AS form, event_id * 429496 % 4294967296 AS n FROM events), b AS (SELECT form, n % 65521 + 1 AS x, {_V4_SQL('n')} AS v4 FROM a),
+c AS (SELECT {", ".join("CASE form " + " ".join(f"WHEN {i} THEN {f[j]}" for i, f in enumerate(_ADDRESS_FORMS)) + f" END AS {name}" for j, name in enumerate(("family", "reserved", "label")))} FROM b) SELECT family, reserved, label, count(*) AS addresses FROM c GROUP BY 1, 2, 3"""
 _TITLE = "regexp_replace(trim(regexp_replace({0}, '\\s+', ' ', 'g')), '^(.+?)( \\| | — | – | · | :: | » ).*$', '\\1')"
 _LD = {0: ("product", "json-ld @type Product", True), 1: ("faq", "json-ld @type FAQPage", True)}
 _SEGMENT = {"/en/products/4": ("product", "products"), "/help": ("faq", "help"), "/docs/api/2": ("document", "docs")}
@@ -156,11 +167,11 @@ QUERIES = {
     "page_metas": (page_metas, "SELECT page_id, lower(regexp_extract(html, '<meta charset=\"([^\"]*)\"', 1)) AS charset, octet_length(encode(left(html, instr(html, '<meta charset') - 1))) AS \"offset\" FROM pages WHERE contains(html, '<meta charset')"),
     "page_titles": (page_titles, f"SELECT page_id, lower(trim({_TITLE.format('t')})) AS title FROM (SELECT page_id, regexp_replace({_DECODE.format("regexp_extract(html, '<title>(.*?)</title>', 1)")}, '\\s+', ' ', 'g') || [{', '.join(chr(39) + s + chr(39) for s in SUFFIXES)}][(page_id % {len(SUFFIXES)} + 1)::INT] AS t FROM pages)"),
     "labelled_facts": (labelled_facts, _LABEL_SQL),
-    "stated_values": (stated_values, None),
-    "resolved_links": (resolved_links, None),
+    "stated_values": (stated_values, _STATED_SQL),
+    "resolved_links": (resolved_links, _LINKS_SQL),
     "page_kinds": (page_kinds, _KINDS_SQL),
     "access_rules": (access_rules, f"WITH {_RULES_SQL} SELECT * FROM r"),
     "access_decisions": (access_decisions, _ACCESS_SQL),
-    "address_labels": (address_labels, None),
+    "address_labels": (address_labels, _ADDRESS_SQL),
     "public_domains": (public_domains, _DOMAIN_SQL),
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagelens.functions import money, urls, validate
+from pagelens.functions import addresses, money, urls, validate
 from pagelens.operators import evaluation, limiter, robots
 from pagelens.plans.literal import table, values
 from pagelens.sources.shared import read_table
@@ -43,24 +43,10 @@ def robots_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _robots(spark).groupBy("file").agg(F.max("group").alias("groups"), F.count_if("malformed").alias("malformed"), F.count_if("orphan").alias("orphans"), F.count_if(F.col("field") == "sitemap").alias("sitemaps"))
 
 
-# Reserved IPv4 ranges, as first address, last address and label.
-RANGES = [
-    ("0.0.0.0", "0.255.255.255", "this-network"), ("10.0.0.0", "10.255.255.255", "private"), ("100.64.0.0", "100.127.255.255", "carrier-grade-nat"), ("127.0.0.0", "127.255.255.255", "loopback"),
-    ("169.254.0.0", "169.254.255.255", "link-local"), ("172.16.0.0", "172.31.255.255", "private"), ("192.0.0.0", "192.0.0.255", "protocol-assignments"), ("192.168.0.0", "192.168.255.255", "private"),
-    ("198.18.0.0", "198.19.255.255", "benchmarking"), ("224.0.0.0", "239.255.255.255", "multicast"), ("240.0.0.0", "255.255.255.255", "reserved"),
-]
-
-
-def _number(ip: str) -> int:
-    a, b, c, d = map(int, ip.split("."))
-    return ((a * 256 + b) * 256 + c) * 256 + d
-
-
 def address_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels of IPv4 addresses derived from events, by first match over ordered ranges."""
-    number = F.col("event_id") * 429_496 % 4_294_967_296
-    label = F.coalesce(*[F.when(F.col("n").between(_number(a), _number(b)), F.lit(k)) for a, b, k in RANGES], F.lit("public"))
-    return read_table(spark, sf_dir, "events").select(number.alias("n")).groupBy(label.alias("label")).agg(F.count("*").alias("addresses"))
+    quad = F.concat_ws(".", *[F.expr(f"cast(event_id * 429496 % 4294967296 div {256**i} % 256 as string)") for i in (3, 2, 1, 0)])
+    return read_table(spark, sf_dir, "events").select(addresses.address(quad)["label"].alias("label")).groupBy("label").agg(F.count("*").alias("addresses"))
 
 
 def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -210,7 +196,7 @@ QUERIES = {
         SELECT a.request, CASE WHEN b.agent IS NULL THEN 'unspecified' ELSE coalesce(h.field, 'allow') END AS decision, b.agent AS matched_agent, upper(left(h.field, 1)) || substring(h.field, 2) || ': ' || h.value AS matched_rule FROM asked a LEFT JOIN best b ON b.request = a.request LEFT JOIN hits h ON h.request = a.request AND h.r = 1""",
     ),
     "robots_lines": (robots_lines, f"WITH {_ROBOTS}, {_ROBOT_RULES} SELECT file, max(grp)::BIGINT AS groups, count(*) FILTER (coalesce(field NOT IN ('user-agent', 'allow', 'disallow', 'sitemap', 'crawl-delay', 'host', 'clean-param'), true)) AS malformed, count(*) FILTER (field IN ('allow', 'disallow') AND grp IS NULL) AS orphans, count(*) FILTER (field = 'sitemap') AS sitemaps FROM grouped GROUP BY 1"),
-    "address_ranges": (address_ranges, "SELECT CASE " + " ".join(f"WHEN n BETWEEN {_number(a)} AND {_number(b)} THEN '{k}'" for a, b, k in RANGES) + " ELSE 'public' END AS label, count(*) AS addresses FROM (SELECT event_id * 429496 % 4294967296 AS n FROM events) GROUP BY 1"),
+    "address_ranges": (address_ranges, f"SELECT {addresses.v4_label_sql('n')} AS label, count(*) AS addresses FROM (SELECT event_id * 429496 % 4294967296 AS n FROM events) GROUP BY 1"),
     "evaluation_summary": (evaluation_summary, f"WITH {_RESULTS} SELECT profile, split, count(*) AS runs, sum(correct)::BIGINT AS correct, sum(total)::BIGINT AS total, sum(qualified)::BIGINT AS qualified, sum(qualifications)::BIGINT AS qualifications, count(*) AS fidelity_passed, 0::BIGINT AS errors FROM results GROUP BY 1, 2"),
     "promotable_profiles": (
         promotable_profiles,

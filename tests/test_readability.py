@@ -16,6 +16,7 @@ def values(spark, column, items):
 
 def test_normal_forms(spark):
     assert values(spark, normalize.title, [" A  b | C", "x — y · z", "| a", "A :: b"]) == ["a b", "x", "| a", "a"]
+    assert values(spark, normalize.title, ["Blue\u00a0 Lamp\u00a0| Shop", "\u3000x\u2003— y"]) == ["blue lamp", "x"]
     assert values(spark, normalize.date, ["2024-03-09T1", "2024/03/09", "9 March 2024", "Mar 19, 2024", "9 Foo 2024", "x"]) == ["2024-03-09", "2024-03-09", "2024-03-09", "2024-03-19", None, None]
     assert values(spark, normalize.availability, ["https://schema.org/InStock", "Sold Out!", "later"]) == ["instock", "outofstock", None]
     assert values(spark, normalize.phone, ["+1 (415) 555-0142", "tel:+493012345", "123", "415 555 0142"]) == ["+14155550142", "+493012345", None, "4155550142"]
@@ -27,9 +28,11 @@ def test_normal_forms(spark):
 
 def test_links_resolve_as_browsers_do(spark):
     base = "https://x.example/a/b/c.html?z=1"
-    hrefs = [h for h in r.HREFS if h and not h.startswith(("HTTPS", "mailto", "#"))]
+    hrefs = [h for h in r.HREFS if h and not h.startswith(("HTTPS", "mailto", "#", "a b", "https://z"))]
     got = values(spark, lambda x: links.absolute(x, F.lit(base)), hrefs)
     assert got == [u if u.count("/") > 2 else u + "/" for u in (urljoin(base, h) for h in hrefs)]
+    odd = {"a b.html?q=x y#t`": "https://x.example/a/b/a%20b.html?q=x%20y#t%60", "/é?ö='": "https://x.example/%C3%A9?%C3%B6=%27", "HTTP://Y.example:80/a/../%20b": "http://y.example/%20b", "\\\\cdn.x\\y": "https://cdn.x/y", "  d\te\n ": "https://x.example/a/b/de", "https://q.example:8443": "https://q.example:8443/"}
+    assert values(spark, lambda x: links.absolute(x, F.lit(base.replace("example/", "example:443/"))), list(odd)) == list(odd.values())
     assert values(spark, lambda x: links.absolute(x, F.lit(base)), ["HTTPS://Y.example", "mailto:a@b", "#t", "../../../../g"]) == ["https://y.example/", "mailto:a@b", "https://x.example/a/b/c.html?z=1#t", "https://x.example/g"]
 
 
@@ -68,6 +71,9 @@ def test_json_ld(spark):
 
 def test_documents(spark):
     assert values(spark, documents.canonical_json, ['{"b": 1, "a": [null, "é"]}', "{"]) == ['{"a":[null,"é"],"b":1}', None]
+    assert values(spark, documents.canonical_json, ['{"b":1.0,"a":[100000.0,1e-06,1e-7,1.5e300,123456789012345678901,1e21,-0.0,0.1,12345.678,1e999]}', '{"\U0001F600":1,"\uffff":2,"z":true}', "[NaN]"]) == [
+        '{"a":[100000,0.000001,1e-7,1.5e+300,123456789012345680000,1e+21,0,0.1,12345.678,null],"b":1}', '{"z":true,"\U0001F600":1,"\uffff":2}', None,
+    ]
     assert values(spark, documents.etag, ["", "a"]) == ['W/"cbf29ce484222325-0"', 'W/"af63dc4c8601ec8c-1"']
     section = F.array(F.struct(F.lit("## S").alias("heading"), F.array(F.lit("- one"), F.lit("- two")).alias("items")))
     whole, cut, none = (spark.range(1).select(documents.within_budget(F.array(F.lit("# T")), section, n).alias("d")).first().d for n in (100, 76, 60))

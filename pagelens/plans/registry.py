@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["requests", "demand", "content", "facts", "serving", "pages", "readability", "page_facts", "page_scores", "signed"]
+MODULES = ["requests", "demand", "content", "facts", "serving", "pages", "readability", "page_facts", "page_scores", "signed", "bodies"]
 
 
 def _entries() -> dict[str, tuple]:

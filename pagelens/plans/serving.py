@@ -40,7 +40,11 @@ def robots_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def robots_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _robots(spark).groupBy("file").agg(F.max("group").alias("groups"), F.count_if("malformed").alias("malformed"), F.count_if("orphan").alias("orphans"), F.count_if(F.col("field") == "sitemap").alias("sitemaps"))
+    """Groups, lines and sitemaps of the robots file of each page's host; one of those above, with a sitemap of the host's own put before it."""
+    k = F.col("page_id") % len(ROBOTS)
+    body = F.concat(F.lit("Sitemap: https://x.example/"), F.col("page_id").cast("string"), F.lit(".xml\n"), F.element_at(F.array(*[F.lit(b) for _, b in ROBOTS]), (k + 1).cast("int")))
+    parsed = robots.parse(read_table(spark, sf_dir, "pages").select(F.col("page_id").alias("file"), body.alias("body")))
+    return parsed.groupBy("file").agg(F.max("group").alias("groups"), F.count_if("malformed").alias("malformed"), F.count_if("orphan").alias("orphans"), F.count_if(F.col("field") == "sitemap").alias("sitemaps"))
 
 
 def address_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -195,7 +199,7 @@ QUERIES = {
         hits AS (SELECT a.request, field, value, row_number() OVER (PARTITION BY a.request ORDER BY -length(value), field, value) AS r FROM asked a JOIN best USING (request) JOIN grouped g ON g.file = a.file AND g.grp = best.grp AND field IN ('allow', 'disallow') WHERE value <> '' AND regexp_matches(path, {_PATTERN}))
         SELECT a.request, CASE WHEN b.agent IS NULL THEN 'unspecified' ELSE coalesce(h.field, 'allow') END AS decision, b.agent AS matched_agent, upper(left(h.field, 1)) || substring(h.field, 2) || ': ' || h.value AS matched_rule FROM asked a LEFT JOIN best b ON b.request = a.request LEFT JOIN hits h ON h.request = a.request AND h.r = 1""",
     ),
-    "robots_lines": (robots_lines, f"WITH {_ROBOTS}, {_ROBOT_RULES} SELECT file, max(grp)::BIGINT AS groups, count(*) FILTER (coalesce(field NOT IN ('user-agent', 'allow', 'disallow', 'sitemap', 'crawl-delay', 'host', 'clean-param'), true)) AS malformed, count(*) FILTER (field IN ('allow', 'disallow') AND grp IS NULL) AS orphans, count(*) FILTER (field = 'sitemap') AS sitemaps FROM grouped GROUP BY 1"),
+    "robots_lines": (robots_lines, f"WITH {_ROBOTS}, {_ROBOT_RULES}, counted AS (SELECT file AS k, max(grp)::BIGINT AS groups, count(*) FILTER (coalesce(field NOT IN ('user-agent', 'allow', 'disallow', 'sitemap', 'crawl-delay', 'host', 'clean-param'), true)) AS malformed, count(*) FILTER (field IN ('allow', 'disallow') AND grp IS NULL) AS orphans, count(*) FILTER (field = 'sitemap') AS sitemaps FROM grouped GROUP BY 1) SELECT page_id AS file, groups, coalesce(malformed, 0) AS malformed, coalesce(orphans, 0) AS orphans, coalesce(sitemaps, 0) + 1 AS sitemaps FROM pages LEFT JOIN counted ON page_id % 4 = k"),
     "address_ranges": (address_ranges, f"SELECT {addresses.v4_label_sql('n')} AS label, count(*) AS addresses FROM (SELECT event_id * 429496 % 4294967296 AS n FROM events) GROUP BY 1"),
     "evaluation_summary": (evaluation_summary, f"WITH {_RESULTS} SELECT profile, split, count(*) AS runs, sum(correct)::BIGINT AS correct, sum(total)::BIGINT AS total, sum(qualified)::BIGINT AS qualified, sum(qualifications)::BIGINT AS qualifications, count(*) AS fidelity_passed, 0::BIGINT AS errors FROM results GROUP BY 1, 2"),
     "promotable_profiles": (

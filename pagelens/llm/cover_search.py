@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pagelens.llm import vectors
 from pagelens.sources.shared import materialize
 
-LEAF = 256
+LEAF, QUERY_LEAF = 128, 16  # points of a node that is not divided; groups of queries are small, as all of a group bear its widest bound
 SHRINK = 0.85
 SCALE = 256
 
@@ -27,7 +27,7 @@ SCALE = 256
 class CoverTree:
     """Nodes over contiguous ranges of reordered points; children of a node are contiguous too."""
 
-    def __init__(self, ids: np.ndarray, points: np.ndarray):
+    def __init__(self, ids: np.ndarray, points: np.ndarray, leaf: int = LEAF):
         base = points.astype(float)
         nodes: list[list] = [[0, len(points), *self._middle(base), 0, 0]]  # start, end, centre (original row), radius, first child, children
         todo = [(0, np.arange(len(points)))]
@@ -35,7 +35,7 @@ class CoverTree:
         while todo:
             at, members = todo.pop()
             start, end, centre, radius = nodes[at][:4]
-            groups = self._cover(base, members, centre, radius) if len(members) > LEAF and radius > 0 else []
+            groups = self._cover(base, members, centre, radius) if len(members) > leaf and radius > 0 else []
             if len(groups) < 2:
                 final[start:end] = members
                 continue
@@ -99,10 +99,10 @@ def _scores(q: np.ndarray, d: np.ndarray) -> np.ndarray:
     raise OverflowError("a score may not fit a long")
 
 
-def dual_tree(q: CoverTree, d: CoverTree, bound: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def dual_tree(q: CoverTree, d: CoverTree, bound: np.ndarray, k: int, tally: list[int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Each query's best k of d (own id left out) that can still be among its best k of all: ids, vector ids, scores.
 
-    bound: for each query a score that at least k rows reach.
+    bound: for each query a score that at least k rows reach. tally gets the number of pairs scored by each pair of leaves.
     """
     n = len(q.ids)
     none = -(2**62)  # can be negated, unlike the least long
@@ -117,6 +117,8 @@ def dual_tree(q: CoverTree, d: CoverTree, bound: np.ndarray, k: int) -> tuple[np
     def leaf(i: int, j: int) -> None:
         a, b = q.span[i]
         c, e = d.span[j]
+        if tally is not None:
+            tally.append(int((b - a) * (e - c)))
         s = _scores(q.points[a:b], d.points[c:e])
         s[q.ids[a:b, None] == d.ids[None, c:e]] = none
         hot = np.flatnonzero(s.max(axis=1) >= worst[a:b])
@@ -166,7 +168,7 @@ def top_k(table: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector
     asked = rows.where(is_query).groupBy("id").agg(F.min("v").alias("v"))
 
     def query_block(ids: np.ndarray, matrix: np.ndarray) -> bytes:
-        tree = CoverTree(ids, matrix)
+        tree = CoverTree(ids, matrix, QUERY_LEAF)
         return tree.dump(bound=vectors.lower_bounds(tree.ids, tree.points, sampled.value, k))
 
     def compare(data: bytes, query: bytes) -> tuple:

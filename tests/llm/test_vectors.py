@@ -80,11 +80,28 @@ def test_packed_estimates_stay_within_their_bounds():
     assert (np.abs(value - m[:40] @ m.T) <= error).mean() > 0.97
 
 
-def test_pruning_fires():
-    ids, m = data(3000, 16, 7)
+def scored_share(m, queries=100, k=5):
+    """Share of pairs that the search scores, its results held to brute force."""
+    ids = np.arange(len(m))
     w = np.floor(m * 256).astype(np.int64)
-    data_tree, query_tree = cover_search.CoverTree(ids, w), cover_search.CoverTree(ids[::50], w[::50])
-    assert len(data_tree.span) > 1 and len(query_tree.span) >= 1 and data_tree.radius.max() > 0
+    q, d = cover_search.CoverTree(ids[:queries], w[:queries], cover_search.QUERY_LEAF), cover_search.CoverTree(ids, w)
+    s = w[:queries] @ w.T
+    s[ids[:queries], ids[:queries]] = -(2**62)
+    order = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :k]
+    bound = np.take_along_axis(s, order, 1)[:, -1].astype(float)
+    tally = []
+    got = cover_search.dual_tree(q, d, bound[np.searchsorted(ids[:queries], q.ids)], k, tally)
+    want = {(i, int(j), int(s[i, j])) for i in range(queries) for j in order[i]}
+    assert {x for x in zip(*(y.tolist() for y in got))} >= want
+    return sum(tally) / (queries * len(m))
+
+
+def test_pruning_leaves_pairs_unscored():
+    rng = np.random.default_rng(3)
+    clustered = lambda dims: np.repeat(rng.normal(size=(40, dims)), 200, axis=0) + rng.normal(size=(8000, dims)) * 0.05
+    shares = [scored_share(rng.permutation(clustered(dims))) for dims in (2, 8, 16, 64)]
+    assert max(shares) < 0.5, shares
+    assert scored_share(rng.normal(size=(4000, 2))) < 0.5
 
 
 def test_fewer_candidates_and_empty_tables(spark):

@@ -22,6 +22,7 @@ from pagelens.sources.shared import materialize
 LEAF = 256
 SHRINK = 0.85
 SCALE = 256
+SCORED = 2048  # points of data leaves that meet a query leaf at a time, at least
 
 
 class CoverTree:
@@ -89,20 +90,23 @@ class CoverTree:
         return self
 
 
-def _scores(q: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """Integer inner products: by floats where these are exact, else by whole numbers."""
+def _scorer(q: np.ndarray, d: np.ndarray):
+    """Integer inner products of rows of q (from, to) with places of d: by floats where these are exact, else by whole numbers."""
     most = float(np.abs(q).max(initial=0)) * float(np.abs(d).max(initial=0)) * q.shape[1]
     if most < 2.0**53:
-        return (q.astype(float) @ d.astype(float).T).astype(np.int64)
+        x, y = q.astype(float), d.astype(float)
+        return lambda a, b, at: (x[a:b] @ y[at].T).astype(np.int64)
     if most < 2.0**61:
-        return q @ d.T
+        return lambda a, b, at: q[a:b] @ d[at].T
     raise OverflowError("a score may not fit a long")
 
 
 def dual_tree(q: CoverTree, d: CoverTree, bound: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Each query's best k of d (own id left out) that can still be among its best k of all: ids, vector ids, scores.
 
-    bound: for each query a score that at least k rows reach.
+    bound: for each query a score that at least k rows reach. A query node goes
+    down with all data nodes that it can't prune; a leaf scores the points of
+    these, those of the highest bounds first, SCORED at least at a time.
     """
     n = len(q.ids)
     none = -(2**62)  # can be negated, unlike the least long
@@ -110,41 +114,50 @@ def dual_tree(q: CoverTree, d: CoverTree, bound: np.ndarray, k: int) -> tuple[np
     best_id = np.full((n, k), np.iinfo(np.int64).max)
     worst = bound.astype(float).copy()
     slack = 1e-9 * (1.0 + float((q.norm + q.radius).max()) * float((d.norm + d.radius).max()))
+    scores = _scorer(q.points, d.points)
 
-    def highest(i: int, nodes: np.ndarray) -> np.ndarray:
-        return d.centre[nodes] @ q.centre[i] + d.radius[nodes] * q.norm[i] + q.radius[i] * (d.norm[nodes] + d.radius[nodes])
+    def kept(i: int, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        a, b = q.span[i]
+        high = d.centre[nodes] @ q.centre[i] + d.radius[nodes] * q.norm[i] + q.radius[i] * (d.norm[nodes] + d.radius[nodes])
+        own = high + slack >= worst[a:b].min()
+        return nodes[own], high[own]
 
-    def leaf(i: int, j: int) -> None:
+    def leaf(i: int, at: np.ndarray) -> None:
         a, b = q.span[i]
-        c, e = d.span[j]
-        s = _scores(q.points[a:b], d.points[c:e])
-        s[q.ids[a:b, None] == d.ids[None, c:e]] = none
-        hot = np.flatnonzero(s.max(axis=1) >= worst[a:b])
-        if not len(hot):
-            return
-        scores = np.concatenate([best[a:b][hot], s[hot]], axis=1)
-        ids = np.concatenate([best_id[a:b][hot], np.broadcast_to(d.ids[c:e], (len(hot), e - c))], axis=1)
-        order = np.lexsort((ids, -scores), axis=1)[:, :k]
-        best[a + hot] = np.take_along_axis(scores, order, 1)
-        best_id[a + hot] = np.take_along_axis(ids, order, 1)
-        kth = best[a + hot, k - 1]
-        worst[a + hot] = np.maximum(worst[a + hot], np.where(kth == none, -np.inf, kth.astype(float)))
-
-    todo = [(0, 0, float(highest(0, np.array([0]))[0]))]
+        s, ids = scores(a, b, at), d.ids[at]
+        s[q.ids[a:b, None] == ids[None, :]] = none
+        hit = s >= worst[a:b, None]
+        for row in np.flatnonzero(hit.any(axis=1)):
+            x = np.concatenate([best[a + row], s[row, hit[row]]])
+            y = np.concatenate([best_id[a + row], ids[hit[row]]])
+            order = np.lexsort((y, -x))[:k]
+            best[a + row], best_id[a + row] = x[order], y[order]
+            if best[a + row, k - 1] != none:
+                worst[a + row] = max(worst[a + row], float(best[a + row, k - 1]))
+
+    todo = [(0, np.zeros(1, np.int64))]
     while todo:
-        i, j, high = todo.pop()
-        a, b = q.span[i]
-        if high + slack < worst[a:b].min():
+        i, nodes = todo.pop()
+        nodes, high = kept(i, nodes)
+        open_q = q.child[i, 1] > 0
+        while True:
+            wide = d.child[nodes, 1] > 0
+            if open_q:
+                wide &= d.radius[nodes] >= q.radius[i]
+            if not wide.any():
+                break
+            below = [np.arange(lo, lo + m) for lo, m in d.child[nodes[wide]]]
+            nodes, high = kept(i, np.concatenate([nodes[~wide], *below]))
+        if open_q:
+            todo += [(x, nodes) for x in range(q.child[i, 0], q.child[i].sum())]
             continue
-        open_q, open_d = q.child[i, 1] > 0, d.child[j, 1] > 0
-        if not open_q and not open_d:
-            leaf(i, j)
-        elif open_d and (not open_q or d.radius[j] >= q.radius[i]):
-            nodes = np.arange(d.child[j, 0], d.child[j].sum())
-            h = highest(i, nodes)
-            todo += [(i, int(nodes[x]), float(h[x])) for x in np.argsort(h) if h[x] + slack >= worst[a:b].min()]  # the best is visited first
-        else:
-            todo += [(int(x), j, float(highest(int(x), np.array([j]))[0])) for x in range(q.child[i, 0], q.child[i].sum())]
+        while len(nodes):
+            order = np.argsort(-high, kind="stable")
+            nodes, high = nodes[order], high[order]
+            size = np.cumsum(d.span[nodes, 1] - d.span[nodes, 0])
+            some = int(np.searchsorted(size, SCORED)) + 1
+            leaf(i, np.concatenate([np.arange(lo, hi) for lo, hi in d.span[nodes[:some]]]))
+            nodes, high = kept(i, nodes[some:])
     rows, cols = np.nonzero((best != none) & (best >= bound[:, None]))
     return q.ids[rows], best_id[rows, cols], best[rows, cols]
 

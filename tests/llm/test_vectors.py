@@ -94,3 +94,17 @@ def test_fewer_candidates_and_empty_tables(spark):
     none = few.where("false")
     assert cover_search.top_k(none, F.col("id") % 50 == 0).count() == 0
     assert rabitq.nearest(none, F.col("id") % 20 == 0).count() == 0
+
+
+def test_leaves_are_scored_together(monkeypatch):
+    """Vectors about equally far from each other give trees of tiny leaves; each query leaf still scores the block in few products."""
+    rng = np.random.default_rng(2)
+    w = np.floor(rng.standard_normal((4000, 64)) * 256).astype(np.int64)
+    d, q = cover_search.CoverTree(np.arange(4000), w), cover_search.CoverTree(np.arange(0, 4000, 20), w[::20])
+    calls, plain = [0], np.lexsort
+    monkeypatch.setattr(np, "lexsort", lambda *x, **y: (calls.__setitem__(0, calls[0] + 1), plain(*x, **y))[1])
+    ids, found, score = cover_search.dual_tree(q, d, np.full(200, -np.inf), 5)
+    assert calls[0] <= 200 * 3 and len(ids) == 1000
+    s = (w[::20] @ w.T).astype(float)
+    s[np.arange(200), np.arange(0, 4000, 20)] = -np.inf
+    assert np.array_equal(np.sort(score.reshape(-1, 5), axis=1), np.sort(np.array([np.sort(s[i // 20])[-5:] for i in ids[::5]]), axis=1))

@@ -62,3 +62,9 @@ def test_pieces_rebuild_documents_and_sequences(spark):
 
 def test_empty_table(spark):
     assert packing.pack(empty(spark), JSON).count() == 0
+
+
+def test_texts_go_to_tiktoken_whole(monkeypatch):
+    text = "one two\nthree don't é日 " * 50 + "end"
+    monkeypatch.setattr(type(CHUNKS.chunks), "__missing__", None)  # no chunk is looked up
+    assert np.frombuffer(CHUNKS.encode(text.replace("\n", "\nx")), "<u4").tolist() == WHOLE.encode(text.replace("\n", "\nx"), add_special_tokens=False).ids

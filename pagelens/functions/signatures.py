@@ -122,15 +122,6 @@ def _add(p: tuple, q: tuple) -> tuple:
     return e * f % _P, g * h % _P, f * g % _P, e * h % _P
 
 
-def _times(n: int, p: tuple) -> tuple:
-    out = (0, 1, 1, 0)
-    while n:
-        if n & 1:
-            out = _add(out, p)
-        p, n = _add(p, p), n >> 1
-    return out
-
-
 @lru_cache(maxsize=256)
 def _point(raw: bytes) -> tuple | None:
     """The curve point of 32 bytes, null if there is none."""
@@ -147,18 +138,42 @@ def _point(raw: bytes) -> tuple | None:
     return x, y, 1, x * y % _P
 
 
-_BASE = _point((4 * pow(5, -1, _P) % _P).to_bytes(32, "little"))
+_BASE = (4 * pow(5, -1, _P) % _P).to_bytes(32, "little")
+_WINDOW = 4  # bits of a factor that a table has the multiples for
+
+
+@lru_cache(maxsize=64)
+def _multiples(raw: bytes) -> list[list[tuple]]:
+    """For each _WINDOW bits of a factor all their multiples of the point of 32 bytes, so that a product takes a sum for each."""
+    out, p = [], _point(raw)
+    for _ in range(-(-256 // _WINDOW)):
+        own = [(0, 1, 1, 0)]
+        for _ in range(2**_WINDOW - 1):
+            own.append(_add(own[-1], p))
+        out.append(own)
+        p = _add(own[-1], p)
+    return out
+
+
+def _product(n: int, raw: bytes) -> tuple:
+    out = (0, 1, 1, 0)
+    for own in _multiples(raw):
+        if n & 2**_WINDOW - 1:
+            out = _add(out, own[n & 2**_WINDOW - 1])
+        n >>= _WINDOW
+    return out
 
 
+@lru_cache(maxsize=16384)
 def ed25519_verifies(public: bytes, message: bytes, signature: bytes) -> bool:
-    """Whether an Ed25519 signature is one of a message by a public key."""
+    """Whether an Ed25519 signature is one of a message by a public key; one that is sent again is not computed again."""
     if len(public) != 32 or len(signature) != 64:
         return False
     a, r, s = _point(public), _point(signature[:32]), int.from_bytes(signature[32:], "little")
     if a is None or r is None or s >= _L:
         return False
     k = int.from_bytes(hashlib.sha512(signature[:32] + public + message).digest(), "little") % _L
-    left, right = _times(s, _BASE), _add(r, _times(k, a))
+    left, right = _product(s, _BASE), _add(r, _product(k, public))
     return not ((left[0] * right[2] - right[0] * left[2]) % _P or (left[1] * right[2] - right[1] * left[2]) % _P)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pagelens.functions import signatures
 from pagelens.plans.literal import table, values
-from pagelens.sources.shared import read_table
+from pagelens.sources.shared import dealt, read_table
 
 # A key of a test, and its signature of a request for https://shop.example/a.
 _PUBLIC = "4h6wO37klFr0br14Qud_1JQY0584oNEYoKkgopghXgQ"
@@ -35,7 +35,7 @@ def agent_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether requests made of events carry an agent's valid signature at the time of the event, and if not, why."""
     forms = [_GOOD | change for change, *_ in CASES]
     each = F.element_at(F.array(*[F.struct(*[F.lit(f[k]).cast("string").alias(k) for k in _GOOD]) for f in forms]), (F.col("event_id") % len(forms) + 1).cast("int"))
-    rows = read_table(spark, sf_dir, "events").select("event_id", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at"), each.alias("f"))
+    rows = dealt(read_table(spark, sf_dir, "events").select("event_id", "ts"), "event_id").select("event_id", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at"), each.alias("f"))
     entries = F.filter(F.array(*[F.struct(F.lit(k).alias("key"), F.array(F.col("f").getField(k)).alias("value")) for k in _GOOD if k != "path"]), lambda e: e["value"][0].isNotNull())
     requests = rows.select(F.struct("event_id", "at").alias("request"), F.map_from_entries(entries).alias("headers"), F.lit("GET").alias("method"), F.concat(F.lit("https://Shop.example:443"), F.col("f.path"), F.lit("?q")).alias("url"))
     found = signatures.verify_agents(requests, table(spark, "origin string, keyid string, alg string, x string", KEYS), F.col("request.at"))

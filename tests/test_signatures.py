@@ -45,3 +45,24 @@ def test_proxy_rows_without_a_query(spark):
     assert [r.ok for r in rows] == [False] * 4
     times = spark.createDataFrame([(x,) for x in ("905", "904", "1005", "1006", "x", None, "9" * 30)], "t string").select(s.is_fresh(F.col("t"), F.lit(1000)).alias("f")).collect()
     assert [r.f for r in times] == [True, False, True, False, False, False, False]
+
+
+def test_a_known_key_takes_few_sums_and_a_repeated_signature_none(monkeypatch):
+    key, _, signature = (bytes.fromhex(x) for x in VECTORS[0])
+    s.ed25519_verifies(key, b"first", signature)
+    sums, add = [], s._add
+    monkeypatch.setattr(s, "_add", lambda p, q: sums.append(1) or add(p, q))
+    assert not s.ed25519_verifies(key, b"second", signature)
+    assert 0 < len(sums) < 150
+    done = len(sums)
+    assert not s.ed25519_verifies(key, b"second", signature) and len(sums) == done
+
+
+def test_products_by_tables():
+    p = s._point(s._BASE)
+    for n in (0, 1, 15, 16, 17, 2**252 + 12345, s._L - 1):
+        want, q, m = (0, 1, 1, 0), p, n
+        while m:
+            want, q, m = s._add(want, q) if m & 1 else want, s._add(q, q), m >> 1
+        got = s._product(n, s._BASE)
+        assert (got[0] * want[2] - want[0] * got[2]) % s._P == (got[1] * want[2] - want[1] * got[2]) % s._P == 0
